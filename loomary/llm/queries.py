@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import components, survivor
+from . import components, neardup, survivor
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -17,6 +17,20 @@ def p1_survivors(spark: SparkSession, root: str) -> DataFrame:
     return survivor.all_survivors(spark, table(spark, root, "memories"), table(spark, root, "conflicts"))
 
 
+#: Near-duplicate memories: words in a run, and similarity, as TESTDATA states them.
+P4_RUN, P4_SIMILARITY = 3, 0.5
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = neardup.similar_pairs(spark, neardup.memory_texts(table(spark, root, "memories")), P4_SIMILARITY, P4_RUN)
+    return pairs.select(F.col("scope").alias("agent_id"), F.col("id_a").alias("memory_a_id"), F.col("id_b").alias("memory_b_id"))
+
+
+def p4_groups(spark: SparkSession, root: str) -> DataFrame:
+    groups = neardup.similar_groups(spark, neardup.memory_texts(table(spark, root, "memories")), P4_SIMILARITY, P4_RUN)
+    return groups.select(F.col("scope").alias("agent_id"), F.col("id").alias("memory_id"), "class_id", "n_links", "group_id")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return components.connected_groups(spark, components.supersession_links(table(spark, root, "conflicts")))
 
@@ -25,7 +39,7 @@ def p6_sizes(spark: SparkSession, root: str) -> DataFrame:
     return p6_found(spark, root).groupBy("agent_id", "group_id").agg(F.count("*").alias("n_members"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_sizes": p6_sizes}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_sizes": p6_sizes}
 
 _MEM = """mem AS (SELECT * FROM (SELECT *, lower(trim(memory_id)) AS mid, row_number() OVER (PARTITION BY agent_id, lower(trim(memory_id)) ORDER BY version_seq DESC) AS rn FROM memories) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
 _CONF = """conf AS (SELECT * FROM (SELECT *, lower(trim(conflict_id)) AS cid, nullif(lower(trim(memory_a_id)), '') AS a, nullif(lower(trim(memory_b_id)), '') AS b, row_number() OVER (PARTITION BY agent_id, lower(trim(conflict_id)) ORDER BY version_seq DESC) AS rn FROM conflicts) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
@@ -50,7 +64,14 @@ s AS (SELECT agent_id, a AS u, b AS v FROM e UNION SELECT agent_id, b, a FROM e)
 reach AS (SELECT agent_id, u, u AS v FROM s UNION SELECT r.agent_id, r.u, s.v FROM reach r JOIN s ON s.agent_id = r.agent_id AND s.u = r.v),
 groups AS (SELECT agent_id, u AS memory_id, min(v) AS group_id FROM reach GROUP BY ALL)"""
 
+_NEAR = f"""WITH {_MEM},
+w AS (SELECT agent_id, mid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM mem WHERE text IS NOT NULL),
+sh AS (SELECT DISTINCT agent_id, mid, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS s FROM w WHERE len(w) > 2),
+n AS (SELECT agent_id, mid, count(*) AS n FROM sh GROUP BY ALL),
+c AS (SELECT a.agent_id, a.mid AS a, b.mid AS b, count(*) AS common FROM sh a JOIN sh b ON a.agent_id = b.agent_id AND a.s = b.s AND a.mid < b.mid GROUP BY ALL)"""
+
 ORACLE = {
+    "p4_found": f"{_NEAR} SELECT c.agent_id, a AS memory_a_id, b AS memory_b_id FROM c JOIN n x ON x.agent_id = c.agent_id AND x.mid = a JOIN n y ON y.agent_id = c.agent_id AND y.mid = b WHERE common * 2 >= x.n + y.n - common",
     "p1_found": f"{_SURVIVORS} SELECT table_name, agent_id, group_id, field, from_id FROM rows_ WHERE n = 1",
     "p1_survivors": f"{_SURVIVORS} SELECT table_name, agent_id, group_id, field, value, from_id FROM rows_ WHERE n = 1",
     "p6_found": f"{_GROUPS} SELECT agent_id, memory_id, group_id FROM groups",
