@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import components, neardup, survivor
+from . import components, leakage, neardup, survivor
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -39,7 +39,16 @@ def p6_sizes(spark: SparkSession, root: str) -> DataFrame:
     return p6_found(spark, root).groupBy("agent_id", "group_id").agg(F.count("*").alias("n_members"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_sizes": p6_sizes}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_overlap(spark, root).select("doc_id", "item_id")
+
+
+def p7_overlap(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaked(spark, table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+QUERIES = {
+    "p7_found": p7_found, "p7_overlap": p7_overlap,"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_sizes": p6_sizes}
 
 _MEM = """mem AS (SELECT * FROM (SELECT *, lower(trim(memory_id)) AS mid, row_number() OVER (PARTITION BY agent_id, lower(trim(memory_id)) ORDER BY version_seq DESC) AS rn FROM memories) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
 _CONF = """conf AS (SELECT * FROM (SELECT *, lower(trim(conflict_id)) AS cid, nullif(lower(trim(memory_a_id)), '') AS a, nullif(lower(trim(memory_b_id)), '') AS b, row_number() OVER (PARTITION BY agent_id, lower(trim(conflict_id)) ORDER BY version_seq DESC) AS rn FROM conflicts) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
@@ -70,7 +79,16 @@ sh AS (SELECT DISTINCT agent_id, mid, unnest([w[i] || ' ' || w[i + 1] || ' ' ||
 n AS (SELECT agent_id, mid, count(*) AS n FROM sh GROUP BY ALL),
 c AS (SELECT a.agent_id, a.mid AS a, b.mid AS b, count(*) AS common FROM sh a JOIN sh b ON a.agent_id = b.agent_id AND a.s = b.s AND a.mid < b.mid GROUP BY ALL)"""
 
+_RUNS = """WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL),
+t AS (SELECT kind, id, regexp_extract_all(lower(regexp_replace(regexp_replace(replace(replace(text, chr(173), ''), chr(8203), ''), '(\\p{L})-[ \\t]*\\r?\\n\\s*(\\p{L})', '\\1\\2', 'g'), '\\r', ' ', 'g')), '[\\p{L}\\p{N}]+') AS w FROM w),
+r AS (SELECT DISTINCT kind, id, unnest([array_to_string(w[i:i + 9], ' ') for i in range(1, len(w) - 8)]) AS g FROM t WHERE len(w) >= 10),
+n AS (SELECT id, count(*) AS total FROM r WHERE kind = 'i' GROUP BY ALL),
+hits AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_runs FROM r d JOIN r i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)"""
+
 ORACLE = {
+    "p7_found": f"{_RUNS} SELECT doc_id, item_id FROM hits",
+    "p7_overlap": f"{_RUNS} SELECT doc_id, item_id, n_runs, n_runs / total::DOUBLE AS share FROM hits JOIN n ON n.id = item_id",
     "p4_found": f"{_NEAR} SELECT c.agent_id, a AS memory_a_id, b AS memory_b_id FROM c JOIN n x ON x.agent_id = c.agent_id AND x.mid = a JOIN n y ON y.agent_id = c.agent_id AND y.mid = b WHERE common * 2 >= x.n + y.n - common",
     "p1_found": f"{_SURVIVORS} SELECT table_name, agent_id, group_id, field, from_id FROM rows_ WHERE n = 1",
     "p1_survivors": f"{_SURVIVORS} SELECT table_name, agent_id, group_id, field, value, from_id FROM rows_ WHERE n = 1",
