@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import components, leakage, neardup, survivor
+from . import components, leakage, mixing, neardup, survivor
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -47,7 +47,16 @@ def p7_overlap(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked(spark, table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
+def p8_selection(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(p8_selection(spark, root), table(spark, root, "mix_targets"))
+
+
 QUERIES = {
+    "p8_selection": p8_selection, "p8_shares": p8_shares,
     "p7_found": p7_found, "p7_overlap": p7_overlap,"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_sizes": p6_sizes}
 
 _MEM = """mem AS (SELECT * FROM (SELECT *, lower(trim(memory_id)) AS mid, row_number() OVER (PARTITION BY agent_id, lower(trim(memory_id)) ORDER BY version_seq DESC) AS rn FROM memories) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
