@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import components, leakage, mixing, neardup, survivor
+from . import components, leakage, mixing, neardup, pii, survivor
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -17,6 +17,25 @@ def p1_survivors(spark: SparkSession, root: str) -> DataFrame:
     return survivor.all_survivors(spark, table(spark, root, "memories"), table(spark, root, "conflicts"))
 
 
+#: Key of the pseudonyms; a deployment passes its own secret.
+P2_KEY = b"example key of the test queries"
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "memories").select("version_seq", "text", F.col("provenance.raw_content").alias("raw_content"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    rows = pii.scrub(spark, _texts(spark, root), ["text", "raw_content"], P2_KEY, texts=False)
+    found = rows.select("version_seq", F.explode("mentions").alias("m")).select("version_seq", "m.field", "m.kind", "m.start_pos")
+    return found.filter(F.col("kind").isin("name", "email", "phone", "id_number", "address")).distinct()
+
+
+def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
+    rows = pii.scrub(spark, _texts(spark, root), ["text", "raw_content"], P2_KEY)
+    return rows.select("version_seq", "text", "raw_content", F.size("mentions").alias("n_mentions")).distinct()
+
+
 #: Near-duplicate memories: words in a run, and similarity, as TESTDATA states them.
 P4_RUN, P4_SIMILARITY = 3, 0.5
 
@@ -57,7 +76,7 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p8_selection": p8_selection, "p8_shares": p8_shares,
-    "p7_found": p7_found, "p7_overlap": p7_overlap,"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_sizes": p6_sizes}
+    "p7_found": p7_found, "p7_overlap": p7_overlap,"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_sizes": p6_sizes}
 
 _MEM = """mem AS (SELECT * FROM (SELECT *, lower(trim(memory_id)) AS mid, row_number() OVER (PARTITION BY agent_id, lower(trim(memory_id)) ORDER BY version_seq DESC) AS rn FROM memories) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
 _CONF = """conf AS (SELECT * FROM (SELECT *, lower(trim(conflict_id)) AS cid, nullif(lower(trim(memory_a_id)), '') AS a, nullif(lower(trim(memory_b_id)), '') AS b, row_number() OVER (PARTITION BY agent_id, lower(trim(conflict_id)) ORDER BY version_seq DESC) AS rn FROM conflicts) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
