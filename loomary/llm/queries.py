@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import components, leakage, mixing, neardup, pii, survivor
+from . import components, leakage, mixing, neardup, pii, subjects, survivor
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -74,9 +74,34 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(p8_selection(spark, root), table(spark, root, "mix_targets"))
 
 
+def _areas(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.subject_areas(spark, table(spark, root, "documents"), table(spark, root, "doc_labels"), table(spark, root, "subjects"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return _areas(spark, root).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.composition(_areas(spark, root), table(spark, root, "documents"))
+
+
 QUERIES = {
-    "p8_selection": p8_selection, "p8_shares": p8_shares,
-    "p7_found": p7_found, "p7_overlap": p7_overlap,"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_sizes": p6_sizes}
+    "p1_found": p1_found,
+    "p1_survivors": p1_survivors,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p6_sizes": p6_sizes,
+    "p7_found": p7_found,
+    "p7_overlap": p7_overlap,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
+}
 
 _MEM = """mem AS (SELECT * FROM (SELECT *, lower(trim(memory_id)) AS mid, row_number() OVER (PARTITION BY agent_id, lower(trim(memory_id)) ORDER BY version_seq DESC) AS rn FROM memories) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
 _CONF = """conf AS (SELECT * FROM (SELECT *, lower(trim(conflict_id)) AS cid, nullif(lower(trim(memory_a_id)), '') AS a, nullif(lower(trim(memory_b_id)), '') AS b, row_number() OVER (PARTITION BY agent_id, lower(trim(conflict_id)) ORDER BY version_seq DESC) AS rn FROM conflicts) WHERE rn = 1 AND op IS DISTINCT FROM 'delete')"""
