@@ -27,27 +27,32 @@ def _placed(df: DataFrame, side: int, own: Column, mine: str, other: str) -> Dat
     return df.select("scope", "id", "vec", place, copies).select("scope", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "id", "vec")
 
 
-def blocks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows (scope, i, j, side, id, vec) grouped and sorted by block pair. Inputs are (scope, id, vec)."""
+def blocks(left: DataFrame, right: DataFrame, half: bool = False) -> DataFrame:
+    """Rows (scope, i, j, side, id, vec) grouped and sorted by block pair. Inputs are (scope, id, vec).
+
+    ``half`` is for a join of rows with themselves: of block pairs only those with i <= j.
+    """
     n = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).alias(name))
     sizes = n(left, "nl").join(n(right, "nr"), "scope")
     both = _placed(left.join(sizes, "scope"), 0, F.col("scope"), "nl", "nr").unionByName(_placed(right.join(sizes, "scope"), 1, F.col("scope"), "nr", "nl"))
+    if half:
+        both = both.filter("i <= j")
     return both.repartition("scope", "i", "j").sortWithinPartitions("scope", "i", "j", "side")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(scope, left ids, left matrix, right ids, right matrix) of each block pair of a sorted stream."""
+    """((scope, i, j), left ids, left matrix, right ids, right matrix) of each block pair of a sorted stream."""
     now, ids, vecs = None, ([], []), ([], [])
     for b in batches:
         for s, i, j, side, rid, v in zip(*[b.column(c).to_pylist() for c in ("scope", "i", "j", "side", "id", "vec")], strict=True):
             if (s, i, j) != now:
                 if now and ids[0] and ids[1]:
-                    yield now[0], ids[0], np.asarray(vecs[0]), ids[1], np.asarray(vecs[1])
+                    yield now, ids[0], np.asarray(vecs[0]), ids[1], np.asarray(vecs[1])
                 now, ids, vecs = (s, i, j), ([], []), ([], [])
             ids[side].append(rid)
             vecs[side].append(v)
     if now and ids[0] and ids[1]:
-        yield now[0], ids[0], np.asarray(vecs[0]), ids[1], np.asarray(vecs[1])
+        yield now, ids[0], np.asarray(vecs[0]), ids[1], np.asarray(vecs[1])
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -61,16 +66,20 @@ def pairs_above(rows: DataFrame, threshold: float, id_type: str = "bigint") -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for scope, a, x, b, y in _groups(batches):
+        for (scope, one, two), a, x, b, y in _groups(batches):
             a, b = np.asarray(a, object), np.asarray(b, object)
             s = _unit(x) @ _unit(y).T
             i, j = np.nonzero(s > threshold)
-            keep = a[i] < b[j]  # each unordered pair meets in both directions; one is kept
-            i, j = i[keep], j[keep]
-            if len(i):
-                yield pa.record_batch([pa.array([scope] * len(i), pa.string()), pa.array(a[i].tolist()), pa.array(b[j].tolist()), pa.array(s[i, j])], names=["scope", "id_a", "id_b", "score"])
+            p, q, v = a[i], b[j], s[i, j]
+            if one == two:  # within a block each pair is met in both directions
+                keep = p < q
+                p, q, v = p[keep], q[keep], v[keep]
+            swap = p > q
+            p[swap], q[swap] = q[swap], p[swap]
+            if len(p):
+                yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(p.tolist()), pa.array(q.tolist()), pa.array(v)], names=["scope", "id_a", "id_b", "score"])
 
-    return blocks(rows, rows).mapInArrow(run, f"scope string, id_a {id_type}, id_b {id_type}, score double")
+    return blocks(rows, rows, half=True).mapInArrow(run, f"scope string, id_a {id_type}, id_b {id_type}, score double")
 
 
 def nearest(probes: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, id_type: str = "bigint") -> DataFrame:
@@ -82,7 +91,7 @@ def nearest(probes: DataFrame, rows: DataFrame, k: int, threshold: float | None
         raise ValueError("k must not be negative")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for scope, a, x, b, y in _groups(batches):
+        for (scope, _, _), a, x, b, y in _groups(batches):
             order = np.argsort(np.asarray(b, object), kind="stable")
             ids = np.asarray(b, object)[order]
             s = np.clip(_unit(x) @ _unit(y[order]).T, 0.0, 1.0)
