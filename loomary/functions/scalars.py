@@ -102,18 +102,18 @@ def parse_reply(reply: str | None, name: str, fallback: str, text: str) -> tuple
         return fallback, 0.0, ""
 
 
-def reply_parser(name: str, fallback: str, text: str):
+def _reply_parser(name: str, fallback: str, text: str):
     """A column function that reads model replies strictly, batch-wise."""
 
-    @F.pandas_udf(f"struct<{name}:string,confidence:double,{text}:string>")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([parse_reply(x, name, fallback, text) for x in s], columns=[name, "confidence", text])
+    def parse(reply: Column) -> Column:
+        def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for s in batches:
+                yield pd.DataFrame([parse_reply(x, name, fallback, text) for x in s], columns=[name, "confidence", text])
 
-    return parse
+        return F.pandas_udf(read, f"struct<{name}:string,confidence:double,{text}:string>", F.PandasUDFType.SCALAR_ITER)(reply)
 
+    return parse
 
-parse_verdict = reply_parser("verdict", "unrelated", "summary")
-parse_action = reply_parser("action", "flag", "reasoning")
 
-__all__ = [n for n in dir() if not n.startswith("_")] + [clamp.__name__]
+parse_verdict = _reply_parser("verdict", "unrelated", "summary")
+parse_action = _reply_parser("action", "flag", "reasoning")

@@ -31,7 +31,7 @@ def memories(log: DataFrame, columns: tuple[str, ...] | None = None) -> DataFram
         "supersedes": F.filter(F.transform(F.coalesce("supersedes", F.array().cast("array<string>")), norm_id), lambda x: x.isNotNull()),
     }
     names = [c for c in keep if columns is None or c in columns]
-    return current_memories(log, {c: keep[c] for c in [*names, "op"]}).drop("op")
+    return current_memories(log, {c: keep[c] for c in names})
 
 
 def conflicts(log: DataFrame) -> DataFrame:
