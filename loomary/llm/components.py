@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import code, norm_id
+from ..operators.graph import both_ways, minimum_labels, undirected
 from ..operators.versions import current_conflicts
 from ..session import Scratch, any_rows
 
@@ -28,17 +29,13 @@ def supersession_links(conflicts: DataFrame) -> DataFrame:
     return now.filter("kind = 'temporal_supersession' and a is not null and b is not null and a <> b").select("agent_id", "a", "b")
 
 
-def _both(e: DataFrame) -> DataFrame:
-    return e.select("agent_id", "u", "v").unionByName(e.select("agent_id", F.col("v").alias("u"), F.col("u").alias("v")))
-
-
 def _peel(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     """The vertices reached from the one of highest degree as (agent_id, node, group_id), and the edges left."""
-    top = _both(edges).groupBy("agent_id", "u").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "agent_id", "u").limit(1).take(1)
+    top = both_ways(edges).groupBy("agent_id", "u").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "agent_id", "u").limit(1).take(1)
     if not top:
         return None, edges
     agent, seed = top[0]["agent_id"], top[0]["u"]
-    arcs = _both(edges.filter(F.col("agent_id") == agent)).select("u", "v")
+    arcs = both_ways(edges.filter(F.col("agent_id") == agent)).select("u", "v")
     reached = [scratch.save(edges.sparkSession.createDataFrame([(seed,)], "node string"), "frontier")]
     for _ in range(rounds):
         seen = reduce(DataFrame.unionByName, reached)
@@ -56,22 +53,6 @@ def _peel(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFrame |
     return giant, scratch.save(left.select("agent_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    arcs = _both(e)
-    low = arcs.groupBy("agent_id", "u").agg(F.min("v").alias("m")).select("agent_id", "u", F.least("u", "m").alias("m"))
-    return arcs.join(low, ["agent_id", "u"]).filter("v > u").select("agent_id", F.col("m").alias("u"), "v").filter("u <> v").distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("agent_id", "v").agg(F.min("u").alias("m"))
-    down = e.join(low, ["agent_id", "v"]).filter("u <> m").select("agent_id", F.col("m").alias("u"), F.col("u").alias("v"))
-    return down.unionByName(low.select("agent_id", F.col("m").alias("u"), "v")).distinct()
-
-
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("agent_id", "u", "v"))).first())
-
-
 def connected_groups(spark: SparkSession, links: DataFrame, peel_rounds: int = 16) -> DataFrame:
     """(agent_id, memory_id, group_id) of every vertex; ``group_id`` is the smallest linked to it.
 
@@ -79,17 +60,9 @@ def connected_groups(spark: SparkSession, links: DataFrame, peel_rounds: int = 1
     both directions are one link, other columns are ignored, and no links give no rows.
     """
     scratch = Scratch(spark, "groups")
-    clean = links.filter("agent_id is not null and a is not null and b is not null and a <> b")
-    edges = scratch.save(clean.select("agent_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+    edges = scratch.save(undirected(links), "edges")
     giant, left = _peel(scratch, edges, peel_rounds)
-    before = None
-    while (now := _mark(left)) != before:
-        before = now
-        nearer = scratch.save(_small_star(_large_star(left)), "edges")
-        scratch.drop(left)
-        left = nearer
-    stars = left.select("agent_id", F.col("v").alias("memory_id"), F.col("u").alias("group_id"))
-    groups = stars.unionByName(stars.select("agent_id", F.col("group_id").alias("memory_id"), "group_id").distinct())
+    groups = minimum_labels(scratch, left).select("agent_id", F.col("node").alias("memory_id"), F.col("label").alias("group_id"))
     if giant is None:
         return groups
     # The giant's stand-in may have been linked on: its members follow it, and it is a member itself.

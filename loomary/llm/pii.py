@@ -70,7 +70,7 @@ _INITIAL = re.compile(rf"(?<![\w.ºª'’@+-])({_LETTER})\.({_GAP})({_NAME})")
 _TWO = re.compile(rf"[.:]?[\s\"“]{{0,3}}({_NAME})(?:{_GAP}{_LETTER}\.)?{_GAP}({_NAME})")
 _AFTER_WORDS = re.compile(rf"{_GAP}([\w-]+)(?:{_GAP}([\w-]+))?")
 
-_NUMBER = re.compile(r"[+(]{0,2}\d(?:[\d\s()./-]{5,22})\d(?![\w])")
+_NUMBER = re.compile(r"[+(]{0,2}\d(?:[\d()/-]|\.(?=\d)|[^\S\n](?=[\d(])){5,26}(?<=\d)(?!\w)")
 _PHONE = [
     ("intl", re.compile(r"(?:\+|00)(?!0)[1-9][\d\s()./-]{7,18}\d$")),
     ("us", re.compile(r"\([2-9]\d\d\)\s?\d{3}[-.\s]\d{4}$")),
@@ -91,7 +91,7 @@ _SPELLED = re.compile(r"(?i)([A-Za-z0-9-]+(?: ?(?:[\[({]dot[\])}]|\bdot\b|\.) ?[
 _SPELLED_AT = re.compile(r"(?i)([\w.+-]+) at ((?:[a-z0-9-]+ dot )+[a-z]{2,})(?![\w])")
 
 _EN = re.compile(rf"(?i)(?<![\w.,/-])(?:(flat|apartment|unit){_GAP}\w{{1,5}},?{_GAP})?(\d{{1,5}}[a-z]?){_GAP}((?:{_LETTER}[\w'’-]*\.?{_GAP}){{1,3}}?)({'|'.join(STREET_EN)})\b(\.?)((?:,{_GAP}(?:apt|flat|unit){_GAP}\w{{1,5}})?)")
-_DE = re.compile(rf"(?i)(?<![\w-])([\w-]*(?:{'|'.join(re.escape(x) for x in STREET_DE)}){_GAP}\d{{1,4}}{_GAP[:-5]}?[a-z]?\b(?:,?{_GAP}\d{{5}}{_GAP}{_NAME})?)")
+_DE = re.compile(rf"(?i)(?<![\w-])({_LETTER}[\w-]+(?:{'|'.join(re.escape(x) for x in STREET_DE)}){_GAP}\d{{1,4}}[a-z]?\b(?:,?{_GAP}\d{{5}}{_GAP}{_NAME})?)")
 _ES = re.compile(rf"(?i)(?<![\w/])((?:{'|'.join(re.escape(x) for x in STREET_ES)}){_GAP}(?:{_NAME}{_GAP}){{1,4}}?\d{{1,4}}(?:,{_GAP}\d{{1,2}}[ºª]{_GAP}{_LETTER}\b)?)")
 _BOX = re.compile(rf"(?i)(?<!\w)(p\.?o\.?{_GAP}box{_GAP}\d{{1,6}}(?:,{_GAP}{_NAME})?)")
 _DATE = re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b|\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b")
@@ -158,7 +158,8 @@ class Finder:
                 taken.append(Mention("email", m.start(), m.end()))
         if "d" in other:
             for m in _DE.finditer(text):
-                taken.append(Mention("address", m.start(1), m.end(1)))
+                if m[1].split()[0].lower() not in self.common:  # "during 12", "spring 2025"
+                    taken.append(Mention("address", m.start(1), m.end(1)))
         if "s" in other:
             for m in _ES.finditer(text):
                 taken.append(Mention("address", m.start(1), m.end(1)))

@@ -99,7 +99,7 @@ class Model:
         doc, _, best, gain = self.sentences(batch)
         n = np.bincount(doc, minlength=len(batch))
         hits = np.zeros((len(batch), len(self.subjects)))
-        ok = gain >= self.bound
+        ok = (gain >= self.bound) & (gain > 0)
         np.add.at(hits, (doc[ok], best[ok]), 1)
         return hits / np.maximum(n, 1)[:, None], n
 
