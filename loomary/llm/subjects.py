@@ -246,7 +246,7 @@ def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     """At most ``limit`` labelled documents with text, drawn by hash, to the driver."""
     by_doc = labels.filter("doc_id is not null").select("doc_id", norm_id(F.col("subject")).alias("subject")).filter("subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     drawn = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text", language(F.col("lang")).alias("lang")).filter("text is not null").join(drawn, "doc_id")
+    rows = documents.select("doc_id", "text", language(F.col("lang")).alias("lang")).filter("text is not null").join(F.broadcast(drawn), "doc_id")  # at most ``limit`` small rows
     return [(r["text"], r["lang"], sorted(r["subjects"])) for r in rows.orderBy("doc_id").select("text", "lang", "subjects").toLocalIterator()]
 
 
