@@ -10,6 +10,7 @@ import datetime as dt
 import math
 from dataclasses import dataclass, field
 
+# The words of the keyword vectors, and below the names of the cases.
 VOCABULARY = ["refund", "policy", "return", "window", "api", "rate", "limit", "request", "password", "security", "requirement", "expire", "price", "plan", "subscription", "days"]
 T0 = dt.datetime(2026, 1, 1)
 AS_OF = dt.datetime(2026, 6, 1)

@@ -43,12 +43,12 @@ def ingest(stream: DataFrame, store: MemoryStore, checkpoint: str, classify: det
 
 def access_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """(user_id, n, last_ts) for update mode."""
-    return events.withWatermark("ts", late).groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events per type and time window; a window closes when the watermark has passed it."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 def expired(stream: DataFrame, as_of) -> DataFrame:
