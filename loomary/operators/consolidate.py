@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import parse_action, row_key, tier
-from ..session import Scratch
+from ..session import Scratch, hold
 from .graph import minimum_labels, undirected
 from .records import pending
 
@@ -63,8 +63,8 @@ def plan(spark: SparkSession, mem: DataFrame, conf: DataFrame, planner: Callable
     tie) supersedes all others.  A single pair supersedes the older one, or is flagged on a tie.
     Chain sources are the stale ids in order, then the keeper; pairs are (stale, keeper).
     """
-    rows = joined_pending(mem, conf)
-    comp = chains(spark, rows)
+    rows = hold(joined_pending(mem, conf), "pending")
+    comp = hold(chains(spark, rows), "chains")
     made = mem.select("agent_id", "memory_id", "created_at", "importance")
     many = comp.filter("size >= 3").join(made, ["agent_id", "memory_id"])
     grouped = many.groupBy("agent_id", "component", "size").agg(F.max(F.struct("created_at", "memory_id"))["memory_id"].alias("keeper"), F.array_sort(F.collect_list("memory_id")).alias("ids"))
@@ -86,7 +86,8 @@ def plan(spark: SparkSession, mem: DataFrame, conf: DataFrame, planner: Callable
     other = decided.select("agent_id", F.lit(2).alias("phase"), F.format_string("%s %020d", F.date_format("detected_at", "yyyyMMddHHmmssSSSSSS"), "first_seq").alias("key"), "conflict_id", F.col("action").alias("action_type"), tier(F.col("plan_confidence")).alias("tier"), F.col("plan_confidence").alias("confidence"), F.array("memory_a_id", "memory_b_id").alias("source_memory_ids"), "reasoning")
     acts = chain.unionByName(single).unionByName(other)
     seq = F.row_number().over(Window.partitionBy("agent_id").orderBy("phase", "key", "conflict_id"))
-    return acts.withColumn("action_seq", seq.cast("bigint")).withColumn("action_id", row_key(F.col("agent_id"), F.col("phase").cast("string"), F.col("key"), F.coalesce("conflict_id", F.lit("")))).drop("phase", "key")
+    acts = acts.withColumn("action_seq", seq.cast("bigint")).withColumn("action_id", row_key(F.col("agent_id"), F.col("phase").cast("string"), F.col("key"), F.coalesce("conflict_id", F.lit("")))).drop("phase", "key")
+    return hold(acts, "actions")
 
 
 def preflight(actions: DataFrame, mem: DataFrame, conf: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .. import schema
 from ..functions import vector
 from ..functions.scalars import age_days, decay, health_risk, is_usable
+from ..session import hold
 from .records import embedded, pending, usable
 from .search import search_many
 from .similarity import pairs_above
@@ -40,9 +41,10 @@ def freshness(mem: DataFrame, as_of: Column, c: HealthConfig = HealthConfig()) -
     f = decay(age, c.half_life)
     imp = F.col("importance")
     weighted = F.when(F.sum(imp) > 0, F.sum(f * imp) / F.sum(imp)).otherwise(F.avg(f))
+    known = F.col("has_provenance") if "has_provenance" in mem.columns else F.col("provenance").isNotNull()
     return usable(mem, as_of).groupBy("agent_id").agg(
         F.count("*").alias("total_memories"), F.coalesce(vector.clamp(weighted), F.lit(1.0)).alias("freshness_score"), F.count_if(f < c.stale_below).alias("stale_count"),
-        F.avg(F.col("provenance").isNotNull().cast("double")).alias("provenance_completeness"), F.avg(imp).alias("avg_importance"), F.max(age).alias("oldest_age_days"),
+        F.avg(known.cast("double")).alias("provenance_completeness"), F.avg(imp).alias("avg_importance"), F.max(age).alias("oldest_age_days"),
     )
 
 
@@ -97,7 +99,7 @@ def confidence_gap(mem: DataFrame, as_of: Column, c: HealthConfig = HealthConfig
 def health(mem: DataFrame, conf: DataFrame, as_of: Column, c: HealthConfig = HealthConfig()) -> DataFrame:
     """One row per tenant: the parts, their weighted score, and its risk label."""
     agents = mem.select("agent_id").distinct()
-    pairs = close_pairs(mem, as_of, c.similarity)
+    pairs = hold(close_pairs(mem, as_of, c.similarity), "pairs")
     n_pending = pending(conf).groupBy("agent_id").agg(F.count("*").alias("n_pending"))
     j = agents.join(freshness(mem, as_of, c), "agent_id", "left").join(contradictions(mem, as_of, pairs), "agent_id", "left").join(confidence_gap(mem, as_of, c), "agent_id", "left").join(n_pending, "agent_id", "left")
     j = j.fillna(0, ["total_memories", "stale_count", "n_pairs", "n_pending"]).fillna(0.0, ["avg_importance", "contradiction_score", "confidence_accuracy_gap"]).fillna(1.0, ["freshness_score", "provenance_completeness"])

@@ -22,7 +22,8 @@ def _known(c: Column, domain: tuple[str, ...]) -> Column:
 def memories(log: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Current memories: ids in lower case, statuses in one spelling (else ``unknown``), links normalised.
 
-    ``embedding`` stays as it is written; ``columns`` limits what moves through the shuffle.
+    ``embedding`` stays as it is written; ``columns`` limits what moves through the shuffle, and may
+    ask for ``has_provenance`` instead of the struct.
     """
     keep = {c: F.col(c) for c in _PLAIN} | {
         "embedding": F.col("embedding").cast("array<double>"),
@@ -30,6 +31,9 @@ def memories(log: DataFrame, columns: tuple[str, ...] | None = None) -> DataFram
         "superseded_by": norm_id(F.col("superseded_by")),
         "supersedes": F.filter(F.transform(F.coalesce("supersedes", F.array().cast("array<string>")), norm_id), lambda x: x.isNotNull()),
     }
+    # naming a small leaf keeps the long texts of the struct out of the scan
+    extra = {"has_provenance": F.col("provenance.chunk_index").isNotNull() | F.col("provenance").isNotNull()}
+    keep |= {c: v for c, v in extra.items() if columns is not None and c in columns}
     names = [c for c in keep if columns is None or c in columns]
     return current_memories(log, {c: keep[c] for c in names})
 

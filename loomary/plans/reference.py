@@ -14,6 +14,7 @@ from ..functions import scalars, vector
 from ..functions.text import norm_id
 from ..operators import consolidate, detect, evaluate, health, lineage, provenance, records, search
 from ..operators.similarity import nearest
+from ..session import hold
 from ..sources.tables import table
 
 AS_OF = "2026-07-01 00:00:00"
@@ -29,6 +30,11 @@ def _mem(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return records.memories(table(spark, root, "memories"), columns or None)
 
 
+def _held(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The same written once, for queries that read it several times."""
+    return hold(_mem(spark, root, *columns), "memories")
+
+
 def _conf(spark: SparkSession, root: str) -> DataFrame:
     return records.conflicts(table(spark, root, "conflicts"))
 
@@ -76,12 +82,12 @@ def _vectors(spark, root):
 
 
 def knn_topk(spark, root):
-    v = _vectors(spark, root)
+    v = hold(_vectors(spark, root), "vectors")
     return nearest(v.filter("id % 20 = 0"), v, 10).select("probe", "id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def knn_threshold(spark, root):
-    v = _vectors(spark, root)
+    v = hold(_vectors(spark, root), "vectors")
     return nearest(v.filter("id % 20 = 0"), v, 1000, 0.2).select("probe", "id", _r("score").alias("score"))
 
 
@@ -99,18 +105,18 @@ def _probes(m: DataFrame) -> DataFrame:
 
 
 def search_topk(spark, root):
-    m = _mem(spark, root, "embedding", "first_seq")
+    m = _held(spark, root, "embedding", "first_seq")
     return search.search_many(m, _probes(m), 10).select("agent_id", "probe", "memory_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def search_enriched(spark, root):
-    m = _mem(spark, root, "embedding", "first_seq", "status", "superseded_by", "created_at")
-    hits = search.enrich(search.search_many(m, _probes(m), 10), m, _conf(spark, root))
+    m = _held(spark, root, "embedding", "first_seq", "status", "superseded_by", "created_at")
+    hits = search.enrich(hold(search.search_many(m, _probes(m), 10), "hits"), m, _conf(spark, root))
     return hits.select("agent_id", "probe", "memory_id", F.col("rank").cast("bigint").alias("rank"), "conflict_flag", F.size("conflicts_with").cast("bigint").alias("n_conflicts"), "conflict_summary", "recommended")
 
 
 def freshness(spark, root):
-    f = health.freshness(_mem(spark, root, "status", "expires_at", "updated_at", "importance", "provenance"), _now())
+    f = health.freshness(_mem(spark, root, "status", "expires_at", "updated_at", "importance", "has_provenance"), _now())
     return f.select("agent_id", "total_memories", "stale_count", *[_r(c).alias(c) for c in ("freshness_score", "provenance_completeness", "avg_importance", "oldest_age_days")])
 
 
@@ -119,35 +125,35 @@ def stale_ids(spark, root):
 
 
 def candidate_pairs(spark, root):
-    p = health.close_pairs(_mem(spark, root, "status", "expires_at", "embedding", "first_seq"), _now(), SIMILAR)
+    p = health.close_pairs(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now(), SIMILAR)
     return p.select("agent_id", "seq_a", "seq_b", _r("similarity").alias("similarity"))
 
 
 def contradiction_score(spark, root):
-    m = _mem(spark, root, "status", "expires_at", "embedding", "first_seq")
-    c = health.contradictions(m, _now(), health.close_pairs(m, _now(), SIMILAR))
+    m = _held(spark, root, "status", "expires_at", "embedding", "first_seq")
+    c = health.contradictions(m, _now(), hold(health.close_pairs(m, _now(), SIMILAR), "pairs"))
     return c.select("agent_id", "n_valid", "n_involved", "n_pairs", _r("contradiction_score").alias("contradiction_score"), _r("embedding_coverage").alias("embedding_coverage"))
 
 
 def confidence_gap(spark, root):
-    g = health.confidence_gap(_mem(spark, root, "status", "expires_at", "embedding", "first_seq"), _now())
+    g = health.confidence_gap(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now())
     return g.select("agent_id", _r("confidence_accuracy_gap").alias("confidence_accuracy_gap"), "n_probed")
 
 
 def health_scores(spark, root):
-    m = _mem(spark, root, "status", "expires_at", "embedding", "first_seq", "updated_at", "importance", "provenance")
+    m = _held(spark, root, "status", "expires_at", "embedding", "first_seq", "updated_at", "importance", "has_provenance")
     h = health.health(m, _conf(spark, root), _now(), health.HealthConfig(similarity=SIMILAR))
     return h.select("agent_id", "total_memories", "stale_count", "conflict_count", *[_r(c).alias(c) for c in ("freshness_score", "contradiction_score", "confidence_accuracy_gap", "score")], "risk_level")
 
 
 def new_conflicts(spark, root):
-    m = _mem(spark, root, "status", "expires_at", "embedding", "first_seq")
+    m = _held(spark, root, "status", "expires_at", "embedding", "first_seq")
     s = detect.scan(m, _conf(spark, root), _now(), similarity=SIMILAR)
     return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
 
 
 def store_conflicts(spark, root):
-    m = _mem(spark, root, "embedding", "first_seq")
+    m = _held(spark, root, "embedding", "first_seq")
     new = m.filter(F.pmod(F.floor(F.col("first_seq") / 100), F.lit(20)) == 0)
     s = detect.on_store(new, m, similarity=SIMILAR)
     return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
@@ -159,7 +165,7 @@ def components(spark, root):
 
 
 def _plan(spark, root):
-    m = _mem(spark, root, "created_at", "importance", "status", "superseded_by", "supersedes")
+    m = _held(spark, root, "created_at", "importance", "status", "superseded_by", "supersedes")
     c = _conf(spark, root)
     return m, c, consolidate.plan(spark, m, c)
 
@@ -212,7 +218,7 @@ def orphan_sources(spark, root):
 
 
 def lineage_chains(spark, root):
-    m = _mem(spark, root, "superseded_by", "supersedes", "created_at")
+    m = _held(spark, root, "superseded_by", "supersedes", "created_at")
     return lineage.lineage(spark, m).filter(F.size("chain") > 1).select("agent_id", "memory_id", F.concat_ws(">", "chain").alias("chain"))
 
 
@@ -295,7 +301,7 @@ def chat_history(spark, root):
 
 
 def importance_rank(spark, root):
-    m = _mem(spark, root, "embedding", "first_seq", "importance", "access_count", "last_accessed")
+    m = _held(spark, root, "embedding", "first_seq", "importance", "access_count", "last_accessed")
     r = search.by_importance(search.search_many(m, _probes(m), 10), m, _now())
     return r.select("agent_id", "probe", "memory_id", _r("merit").alias("merit"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -421,6 +427,15 @@ SELECT agent_id, conflict_id, CASE WHEN bool_or(ok) THEN 'auto_resolved' ELSE 'p
     "action_counts": "SELECT action_type, tier, count(*) AS n, count(executed_at) AS n_executed FROM (SELECT DISTINCT * FROM actions) GROUP BY ALL",
     "plan_views": " UNION ALL ".join(f"SELECT '{v}' AS view, agent_id, count(*) AS n FROM (SELECT DISTINCT * FROM actions) WHERE {w} GROUP BY ALL" for v, w in (("would_merge", "action_type = 'merge'"), ("would_supersede", "action_type = 'supersede'"), ("would_chain_supersede", "action_type = 'chain_supersede'"), ("would_flag_for_review", "action_type = 'flag'"), ("human_review_actions", "tier = 'human_review'"), ("auto_actions", "tier <> 'human_review'"))),
     "orphan_sources": f"WITH {_MEM} SELECT DISTINCT agent_id, action_id, memory_id FROM (SELECT agent_id, action_id, nullif(lower(trim(unnest(source_memory_ids))), '') AS memory_id FROM actions) a WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.agent_id = a.agent_id AND m.memory_id = a.memory_id)",
+    "lineage_chains": f"""WITH RECURSIVE {_MEM},
+bl AS (SELECT l.agent_id, l.child, arg_min(l.parent, struct_pack(t := coalesce(x.created_at, TIMESTAMPTZ '0001-01-01 00:00:00+00'), p := l.pos)) AS parent FROM (SELECT agent_id, memory_id AS child, unnest(supersedes) AS parent, generate_subscripts(supersedes, 1) AS pos FROM mem) l JOIN mem x ON x.agent_id = l.agent_id AND x.memory_id = l.parent WHERE l.child <> l.parent GROUP BY ALL),
+fl AS (SELECT m.agent_id, m.memory_id AS child, x.memory_id AS parent FROM mem m JOIN mem x ON x.agent_id = m.agent_id AND x.memory_id = m.superseded_by WHERE m.memory_id <> x.memory_id),
+wb AS (SELECT agent_id, memory_id AS start, memory_id AS cur, []::VARCHAR[] AS path FROM mem UNION ALL SELECT w.agent_id, w.start, b.parent, list_append(w.path, b.parent) FROM wb w JOIN bl b ON b.agent_id = w.agent_id AND b.child = w.cur WHERE b.parent <> w.start AND NOT list_contains(w.path, b.parent)),
+wf AS (SELECT agent_id, memory_id AS start, memory_id AS cur, []::VARCHAR[] AS path FROM mem UNION ALL SELECT w.agent_id, w.start, b.parent, list_append(w.path, b.parent) FROM wf w JOIN fl b ON b.agent_id = w.agent_id AND b.child = w.cur WHERE b.parent <> w.start AND NOT list_contains(w.path, b.parent)),
+j AS (SELECT b.agent_id, b.start, b.path AS back, f.path AS ahead FROM (SELECT agent_id, start, arg_max(path, len(path)) AS path FROM wb GROUP BY ALL) b JOIN (SELECT agent_id, start, arg_max(path, len(path)) AS path FROM wf GROUP BY ALL) f USING (agent_id, start)),
+k AS (SELECT *, list_min([i FOR x, i IN ahead IF list_contains(back, x)]) AS met FROM j),
+c AS (SELECT agent_id, start, list_concat(list_reverse(back), [start], CASE WHEN met IS NULL THEN ahead ELSE ahead[1:met - 1] END) AS chain FROM k)
+SELECT agent_id, start AS memory_id, array_to_string(chain, '>') AS chain FROM c WHERE len(chain) > 1""",
     "manifest": f"WITH {_MEM} SELECT agent_id, memory_id, provenance.record_id AS record_id, provenance.source_type AS source_type, provenance.source_id AS source_id, provenance.ingested_by AS ingested_by, provenance.chunk_index::BIGINT AS chunk_index, epoch_us(provenance.ingested_at) AS ingested_us FROM mem WHERE provenance IS NOT NULL",
     "document_view": f"WITH {_MEM} SELECT text AS page_content, metadata, memory_id AS _memory_id, agent_id FROM mem",
     "contains_snippet": f"WITH {_MEM} SELECT agent_id, min(first_seq) AS first_hit, count(*) AS n FROM mem WHERE contains(lower(text), 'phone line') GROUP BY ALL",

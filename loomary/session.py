@@ -72,5 +72,10 @@ class Scratch:
             self._fs.delete(self._path(at), True)
 
 
+def hold(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, for plans that read it several times."""
+    return Scratch(df.sparkSession, name).save(df, "rows")
+
+
 def any_rows(df: DataFrame) -> bool:
     return len(df.limit(1).take(1)) > 0

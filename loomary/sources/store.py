@@ -19,6 +19,7 @@ from ..functions.text import norm_id
 from ..operators import consolidate, detect, health, lineage, provenance, search
 from ..operators.records import pending
 from ..operators.versions import latest
+from ..session import Scratch, hold
 
 BUCKETS = 64
 
@@ -265,24 +266,26 @@ class MemoryStore:
 
     # -- analysis
 
+    def _narrow(self, agent_id: str | None) -> DataFrame:
+        """Memories without their long columns, written once for plans that read them several times."""
+        return hold(self.mem(agent_id).withColumn("has_provenance", F.col("provenance").isNotNull()).drop("metadata", "provenance"), "memories")
+
     def scan_contradictions(self, agent_id: str | None = None) -> DataFrame:
         """Detect, store and return the conflicts not known yet."""
-        found = detect.scan(self.mem(agent_id), self.conf(agent_id), self.as_of, self.classifier or detect.rule_classifier, self.similarity)
+        found = detect.scan(self._narrow(agent_id), self.conf(agent_id), self.as_of, self.classifier or detect.rule_classifier, self.similarity)
         n = self.conflicts.last()
         self._keep_conflicts(found)
         return self.conflicts.state(agent_id).filter(F.col("version_seq") > n)
 
     def health(self, agent_id: str | None = None) -> DataFrame:
-        return health.health(self.mem(agent_id), self.conf(agent_id), self.as_of, self.health_config)
+        return health.health(self._narrow(agent_id), self.conf(agent_id), self.as_of, self.health_config)
 
     def plan(self, agent_id: str | None = None) -> DataFrame:
         return consolidate.plan(self.spark, self.mem(agent_id), self.conf(agent_id), self.planner or consolidate.rule_planner)
 
     def consolidate(self, agent_id: str | None = None, dry_run: bool = False, respect_tier: bool = False) -> DataFrame:
         """Plan, check, write all effects as new versions, and return the stamped actions."""
-        from ..session import Scratch
-
-        actions = Scratch(self.spark, "plan").save(self.plan(agent_id), "actions")
+        actions = self.plan(agent_id)
         if dry_run:
             return consolidate.executed(actions, F.current_timestamp(), dry_run=True)
         mem, conf = self.mem(agent_id), self.conf(agent_id)

@@ -9,7 +9,7 @@ DATA = os.environ.get("LOOMARY_TESTDATA", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("tests", cores=4, partitions=4, memory="4g")
+    s = local_session("tests", cores=4, partitions=2, memory="4g")
     yield s
     s.stop()
 
