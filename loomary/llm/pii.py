@@ -386,12 +386,12 @@ _ITEM = "struct<field:string,kind:string,start_pos:int,end_pos:int,pseudonym:str
 def scrub(spark: SparkSession, df: DataFrame, fields: list[str], key: bytes, vocabulary: str = COMMON_WORDS, texts: bool = True) -> DataFrame:
     """``df`` with each of ``fields`` replaced by its redacted text, and ``mentions`` of all of them.
 
-    Positions count characters of the original from 1; ``end_pos`` is the last one.  Null texts stay
+    A column named ``mentions`` is replaced.  Positions count characters of the original from 1; ``end_pos`` is the last one.  Null texts stay
     null, empty ones empty.  Whole texts are read, row by row, without a shuffle.  With ``texts``
     False the fields are dropped and only the mentions come out.
     """
     common = spark.sparkContext.broadcast(common_words(vocabulary))
-    rest = [c for c in df.columns if c not in fields]
+    rest = [c for c in df.columns if c not in fields and c != "mentions"]
     item = pa.struct([("field", pa.string()), ("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("pseudonym", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

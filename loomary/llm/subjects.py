@@ -257,7 +257,7 @@ def classify(spark: SparkSession, documents: DataFrame, model: Model, share: flo
     without a word have none; repeated rows of a document are one.
     """
     sent = spark.sparkContext.broadcast(model)
-    last = model.subjects.index(LAST_RESORT) if LAST_RESORT in model.subjects else -1
+    last = next((i for i, s in enumerate(model.subjects) if s.strip().lower() == LAST_RESORT), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -276,9 +276,12 @@ def classify(spark: SparkSession, documents: DataFrame, model: Model, share: flo
 
 
 def subject_areas(spark: SparkSession, documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Train on the labelled documents and classify all."""
-    names = sorted(r[0] for r in subjects.select(norm_id(F.col("subject"))).filter(F.col("subject").isNotNull()).distinct().collect())
-    return classify(spark, documents, train(labelled(documents, labels), names))
+    """Train on the labelled documents and classify all; subjects are spelled as in ``subjects``."""
+    spelled = {r[0]: r[1] for r in subjects.filter("subject is not null").groupBy(norm_id(F.col("subject")).alias("k")).agg(F.min("subject")).filter("k is not null").collect()}
+    names = sorted(spelled)
+    model = train(labelled(documents, labels), names)
+    model.subjects = [spelled[n] for n in names]
+    return classify(spark, documents, model)
 
 
 def composition(areas: DataFrame, documents: DataFrame) -> DataFrame:

@@ -30,10 +30,13 @@ def encoding(data: bytes):
 
 
 def count_tokens(spark: SparkSession, df: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``df`` with ``text`` replaced by its number of tokens; null counts 0.  Whole texts are encoded."""
+    """``df`` with ``text`` replaced by its number of tokens; null counts 0.
+
+    Whole texts are encoded.  A column named as ``out`` is replaced.
+    """
     with open(vocabulary, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, out)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoding(data.value)
