@@ -95,6 +95,7 @@ _DE = re.compile(rf"(?i)(?<![\w-])({_LETTER}[\w-]+(?:{'|'.join(re.escape(x) for
 _ES = re.compile(rf"(?i)(?<![\w/])((?:{'|'.join(re.escape(x) for x in STREET_ES)}){_GAP}(?:{_NAME}{_GAP}){{1,4}}?\d{{1,4}}(?:,{_GAP}\d{{1,2}}[ºª]{_GAP}{_LETTER}\b)?)")
 _BOX = re.compile(rf"(?i)(?<!\w)(p\.?o\.?{_GAP}box{_GAP}\d{{1,6}}(?:,{_GAP}{_NAME})?)")
 _DATE = re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b|\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b")
+_STOP = re.compile(r"[.!?;]\s|[\n>\]]")
 _SMALL = frozenset("of the and for in on at to from with per units only hall dock shelf phase a an fo teh hte".split())
 
 
@@ -217,7 +218,7 @@ class Finder:
     def _numbers(self, text: str, out: list[Mention]) -> None:
         if _ID_HINT.search(text):
             for m in _ID.finditer(text):
-                if not OTHER_WORDS.search(text, max(0, m.start() - 12), m.start()):
+                if not OTHER_WORDS.search(_clause(text, m.start(), 12)):
                     out.append(Mention("id_number", m.start(), m.end()))
         for m in _NUMBER.finditer(text):
             s, e = m.start(), m.end()
@@ -241,7 +242,7 @@ class Finder:
             if not m:
                 continue
             before, after = text[max(0, s - 40) : s], text[s + len(t) : s + len(t) + 14]
-            if OTHER_WORDS.search(before[-16:]) and kind in ("us?", "uk", "fr"):
+            if kind in ("us?", "uk", "fr") and OTHER_WORDS.search(_clause(text, s, 16)):
                 return
             if kind == "us?" and not (_EXAMPLE_RANGE.search(t) or PHONE_WORDS.search(before) or PHONE_WORDS.search(after)):
                 return
@@ -318,12 +319,19 @@ class Finder:
         if (m[1].islower()) != (_style(w.split("-")[0]) == "lower"):
             return
         b = _WORD_BEFORE.search(text, max(0, s - 24), s)
-        if b and (b[1][-1].isdigit() or b[1][-1] in "ºª" or b[1].lower() in self.given):
+        if b and (b[1][-1] in "ºª" or b[1].lower() in self.given):
             return
+        if b and b[1][-1].isdigit() and not any(f.start <= b.start() < f.end for f in free):
+            return  # "section 12 B. Then"; after a number found it is a new sentence
         if self._person(text, s, m.end()):
             out.append(Mention("name", s, m.end()))
 
 
+def _clause(text: str, at: int, width: int) -> str:
+    """Up to ``width`` characters before ``at``, from the last end of a sentence or line on."""
+    return _STOP.split(text[max(0, at - width) : at])[-1]
+
+
 def _apart(found: list[Mention]) -> list[Mention]:
     """Mentions in order without overlap: the one that starts first, the longer of equal starts."""
     out: list[Mention] = []

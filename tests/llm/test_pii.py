@@ -37,6 +37,9 @@ def test_kinds():
     assert found("hi this is VERA OSTLUND again") == [("name", "VERA OSTLUND")]
     assert found("ping bram zeldorf now") == [("name", "bram zeldorf")]
     assert found("the slate ticket, B. Zeldorf does not") == [("name", "B. Zeldorf")]
+    assert found("units, repaired stock excluded. 020 7946 0483 / x") == [("phone", "020 7946 0483")]
+    assert found("has postponed the meter.\n> ID 915 37 5430 / none") == [("id_number", "915 37 5430")]
+    assert found("phone +49 30 23125 175 N. Zeldorf asked") == [("phone", "+49 30 23125 175"), ("name", "N. Zeldorf")]
     assert found('cc "Jonas Toswick" <j.t+x@mail.example>') == [("name", "Jonas Toswick"), ("email", "j.t+x@mail.example")]
     for e in ("a_b (at) inbox (dot) test", "a-b at corp dot example dot net", "ab[at]desk.example", "ab @ desk.example"):
         assert found(f"Reach us under {e} soon") == [("email", e)]
