@@ -27,7 +27,7 @@ from ..functions.text import norm_id
 from .mixing import language
 
 #: Labelled documents used for training (drawn by hash), and bigrams kept in the model.
-MAX_LABELLED, MAX_BIGRAMS = 12_000, 200_000
+MAX_LABELLED, MAX_BIGRAMS = 8_000, 200_000
 #: Weights of the bigram and unigram models; the rest is the background's.
 W2, W1 = 0.25, 0.25
 #: Tokens of the background that smooth a subject's counts, rounds, and log preference for a label.
