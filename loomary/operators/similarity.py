@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: Rows of one block of a scope, on average.
 BLOCK = 2000
+#: Rows of one Arrow batch of results, at most.
+OUT = 100_000
 
 
 def _placed(df: DataFrame, side: int, own: Column, mine: str, other: str) -> DataFrame:
@@ -82,26 +84,45 @@ def pairs_above(rows: DataFrame, threshold: float, id_type: str = "bigint") -> D
     return blocks(rows, rows, half=True).mapInArrow(run, f"scope string, id_a {id_type}, id_b {id_type}, score double")
 
 
-def nearest(probes: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, id_type: str = "bigint") -> DataFrame:
+def _hits(s: np.ndarray, ok: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the allowed scores, of each row the ``k`` best (all if None); ties go to the first column."""
+    if k == 0:
+        return np.zeros(0, int), np.zeros(0, int)
+    if k is not None and k < s.shape[1]:
+        low = np.where(ok, -s, np.inf)
+        ok = ok & (low <= np.partition(low, k - 1, axis=1)[:, k - 1 : k])
+    i, j = np.nonzero(ok)
+    if k is not None:
+        order = np.lexsort((j, -s[i, j], i))
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float | None = None, id_type: str = "bigint") -> DataFrame:
     """(scope, probe, id, score, rank): the k nearest rows of each probe's scope by clamped cosine.
 
     The threshold is inclusive; ties go to the smallest id; a probe finds itself if it is a row.
+    ``k`` None gives every row that reaches the threshold, without a rank.
     """
-    if k < 0:
+    if k is None and threshold is None:
+        raise ValueError("k or a threshold is needed")
+    if k is not None and k < 0:
         raise ValueError("k must not be negative")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (scope, _, _), a, x, b, y in _groups(batches):
             order = np.argsort(np.asarray(b, object), kind="stable")
-            ids = np.asarray(b, object)[order]
+            a, ids = np.asarray(a, object), np.asarray(b, object)[order]
             s = np.clip(_unit(x) @ _unit(y[order]).T, 0.0, 1.0)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            p = np.repeat(np.arange(len(a)), top.shape[1])
-            score = np.take_along_axis(s, top, 1).ravel()
-            ok = score >= threshold if threshold is not None else np.ones(len(score), bool)
-            if ok.any():
-                yield pa.record_batch([pa.array([scope] * int(ok.sum()), pa.string()), pa.array(np.asarray(a, object)[p[ok]].tolist()), pa.array(ids[top.ravel()[ok]].tolist()), pa.array(score[ok])], names=["scope", "probe", "id", "score"])
+            i, j = _hits(s, s >= threshold if threshold is not None else np.ones(s.shape, bool), k)
+            for lo in range(0, len(i), OUT):
+                p, q = i[lo : lo + OUT], j[lo : lo + OUT]
+                yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(a[p].tolist()), pa.array(ids[q].tolist()), pa.array(s[p, q])], names=["scope", "probe", "id", "score"])
 
     found = blocks(probes, rows).mapInArrow(run, f"scope string, probe {id_type}, id {id_type}, score double")
+    if k is None:
+        return found
     rank = F.row_number().over(Window.partitionBy("scope", "probe").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -88,7 +88,7 @@ def knn_topk(spark, root):
 
 def knn_threshold(spark, root):
     v = hold(_vectors(spark, root), "vectors")
-    return nearest(v.filter("id % 20 = 0"), v, 1000, 0.2).select("probe", "id", _r("score").alias("score"))
+    return nearest(v.filter("id % 20 = 0"), v, None, 0.2).select("probe", "id", _r("score").alias("score"))
 
 
 def distances(spark, root):
