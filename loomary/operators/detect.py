@@ -62,10 +62,11 @@ def records(verdicts: DataFrame) -> DataFrame:
 def on_store(new: DataFrame, mem: DataFrame, classify: Classifier = rule_classifier, similarity: float = schema.CLUSTER_SIMILARITY, limit: int = schema.CANDIDATE_LIMIT) -> DataFrame:
     """Conflicts of newly written memories with earlier ones of their tenant.
 
-    Each searches the tenant (all statuses, inclusive threshold, at most ``limit`` hits with itself
-    among them) and sees only records written before it.  The record's first side is the new memory.
+    Each searches what its tenant held when it was written (all statuses, inclusive threshold, at most
+    ``limit`` hits with itself among them); later records take no places.  The record's first side is
+    the new memory.
     """
-    hits = search_many(mem, new.select("agent_id", F.col("first_seq").alias("probe"), "embedding"), limit, similarity)
+    hits = search_many(mem, new.select("agent_id", F.col("first_seq").alias("probe"), "embedding"), limit, similarity, earlier=True)
     seqs = mem.select("agent_id", "memory_id", F.col("first_seq").alias("seq_b"))
     pairs = hits.join(seqs, ["agent_id", "memory_id"]).filter("seq_b < probe").select("agent_id", F.col("probe").alias("seq_a"), "seq_b", F.col("memory_id").alias("memory_b_id"), F.col("score").alias("similarity"))
     own = mem.select("agent_id", F.col("memory_id").alias("memory_a_id"), F.col("first_seq").alias("seq_a"))

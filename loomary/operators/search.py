@@ -31,14 +31,15 @@ def search_one(mem: DataFrame, agent_id: str, query: list[float], top_k: int = 1
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_seq")))
 
 
-def search_many(mem: DataFrame, probes: DataFrame, top_k: int = 10, score_threshold: float | None = None) -> DataFrame:
+def search_many(mem: DataFrame, probes: DataFrame, top_k: int = 10, score_threshold: float | None = None, earlier: bool = False) -> DataFrame:
     """(agent_id, probe, memory_id, score, rank) of many probes (agent_id, probe, embedding) at once.
 
-    ``probe`` and ``first_seq`` are the numbers by which ties break.
+    ``probe`` and ``first_seq`` are the numbers by which ties break; with ``earlier`` a probe finds
+    only memories whose number is not above its own.
     """
     rows = embedded(mem).select(F.col("agent_id").alias("scope"), F.col("first_seq").alias("id"), F.col("embedding").alias("vec"))
     asked = embedded(probes).select(F.col("agent_id").alias("scope"), F.col("probe").alias("id"), F.col("embedding").alias("vec"))
-    found = nearest(asked, rows, top_k, score_threshold)
+    found = nearest(asked, rows, top_k, score_threshold, earlier=earlier)
     names = mem.select(F.col("agent_id").alias("scope"), F.col("first_seq").alias("id"), "memory_id")
     return found.join(names, ["scope", "id"]).select(F.col("scope").alias("agent_id"), "probe", "memory_id", "score", "rank")
 

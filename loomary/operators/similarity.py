@@ -100,11 +100,12 @@ def _hits(s: np.ndarray, ok: np.ndarray, k: int | None) -> tuple[np.ndarray, np.
     return i, j
 
 
-def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float | None = None, id_type: str = "bigint") -> DataFrame:
+def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float | None = None, id_type: str = "bigint", earlier: bool = False) -> DataFrame:
     """(scope, probe, id, score, rank): the k nearest rows of each probe's scope by clamped cosine.
 
     The threshold is inclusive; ties go to the smallest id; a probe finds itself if it is a row.
-    ``k`` None gives every row that reaches the threshold, without a rank.
+    ``k`` None gives every row that reaches the threshold, without a rank.  With ``earlier`` a probe
+    sees only rows up to its own id, before any cut.
     """
     if k is None and threshold is None:
         raise ValueError("k or a threshold is needed")
@@ -116,7 +117,10 @@ def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float
             order = np.argsort(np.asarray(b, object), kind="stable")
             a, ids = np.asarray(a, object), np.asarray(b, object)[order]
             s = np.clip(_unit(x) @ _unit(y[order]).T, 0.0, 1.0)
-            i, j = _hits(s, s >= threshold if threshold is not None else np.ones(s.shape, bool), k)
+            ok = s >= threshold if threshold is not None else np.ones(s.shape, bool)
+            if earlier:
+                ok &= np.asarray(ids.tolist()) <= np.asarray(a.tolist())[:, None]
+            i, j = _hits(s, ok, k)
             for lo in range(0, len(i), OUT):
                 p, q = i[lo : lo + OUT], j[lo : lo + OUT]
                 yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(a[p].tolist()), pa.array(ids[q].tolist()), pa.array(s[p, q])], names=["scope", "probe", "id", "score"])

@@ -1,9 +1,14 @@
 """Whole jobs: results that a cut, a cap or a sample would make smaller."""
 
+import random
+
+import numpy as np
 import pytest
 from conftest import frame
+from pyspark.sql import functions as F
+from test_reference import mem
 
-from loomary.operators import similarity
+from loomary.operators import detect, similarity
 from loomary.plans import reference
 
 
@@ -15,3 +20,26 @@ def test_threshold_search_has_no_cap(spark, tmp_path):
     df = frame(spark, "scope string, id bigint, vec array<double>", [("s", 1, [1.0])])
     with pytest.raises(ValueError):
         similarity.nearest(df, df, None)
+
+
+def sure(pairs):
+    return pairs.withColumns({"verdict": F.lit("direct_contradiction"), "confidence": F.lit(0.9), "summary": F.lit("s")})
+
+
+def test_later_memories_take_no_places_of_earlier_ones(spark, monkeypatch):
+    rows = [{"memory_id": f"m{i:02}", "embedding": [1.0, 0.3 if i < 3 else 0.01 if i > 3 else 0.0]} for i in range(40)]
+    m = mem(spark, rows)
+    new = m.filter("memory_id = 'm03'")
+    found = {r["memory_b_id"] for r in detect.on_store(new, m, sure, 0.9).collect()}
+    assert found == {"m00", "m01", "m02"}
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    r = random.Random(3)
+    vecs = [[1.0, r.random(), r.random()] for _ in range(60)]
+    m = mem(spark, [{"memory_id": f"m{i:02}", "embedding": v} for i, v in enumerate(vecs)])
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = set()
+    for i, v in enumerate(vecs):  # the search at the time of each store: itself and 20 others
+        best = sorted((-cos(v, w), j) for j, w in enumerate(vecs[: i + 1]) if cos(v, w) >= 0.9)[:21]
+        want |= {(f"m{i:02}", f"m{j:02}") for _, j in best if j != i}
+    got = [(x["memory_a_id"], x["memory_b_id"]) for x in detect.on_store(m, m, sure, 0.9).collect()]
+    assert set(got) == want and len(got) == len(want)
