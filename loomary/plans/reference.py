@@ -159,6 +159,13 @@ def store_conflicts(spark, root):
     return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
 
 
+def store_conflicts_all(spark, root):
+    """Every memory as the new one, at the engine's similarity."""
+    m = _held(spark, root, "embedding", "first_seq")
+    s = detect.on_store(m, m, similarity=schema.CLUSTER_SIMILARITY)
+    return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
+
+
 def components(spark, root):
     rows = consolidate.joined_pending(_mem(spark, root, "created_at", "importance"), _conf(spark, root))
     return consolidate.chains(spark, rows).select("agent_id", "memory_id", "component", "size")
@@ -307,7 +314,7 @@ def importance_rank(spark, root):
 
 
 _NAMES = """upsert_latest list_page status_counts usable_counts metadata_filter conflict_listing deleted_counts knn_topk knn_threshold distances search_topk search_enriched
-freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts components plan_actions plan_preflight execute_effects
+freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts store_conflicts_all components plan_actions plan_preflight execute_effects
 execute_resolutions skipped_conflicts action_counts plan_views orphan_sources lineage_chains manifest provenance_json document_view contains_snippet pair_records
 invalid_memories invalid_conflicts invalid_actions category_scores overall_score failed_cases repeated_cases invalid_cases naive_view access_stats chat_history importance_rank""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -454,3 +461,18 @@ SELECT agent_id, start AS memory_id, array_to_string(chain, '>') AS chain FROM c
 SELECT agent_id, probe, memory_id, round(merit, 8) AS merit, row_number() OVER (PARTITION BY agent_id, probe ORDER BY merit DESC, first_seq) AS rank FROM j""",
     "chat_history": f"WITH {_MEM} SELECT agent_id, memory_id, row_number() OVER (PARTITION BY agent_id ORDER BY created_at NULLS FIRST, first_seq) AS turn FROM mem WHERE memory_type = 'conversation'",
 }
+
+
+def _without(name: str, **cuts: str) -> str:
+    """The SQL of a query with some of its conditions replaced, for the query over the whole tables."""
+    sql = ORACLE[name]
+    for old, new in cuts.values():
+        if old not in sql:
+            raise ValueError(f"{name}: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+ORACLE["store_conflicts_all"] = _without(
+    "store_conflicts", new=(" WHERE (p.first_seq // 100) % 20 = 0", ""), earlier=("m.agent_id = p.agent_id", "m.agent_id = p.agent_id AND m.first_seq <= p.first_seq"), similar=(f"score >= {SIMILAR}", f"score >= {schema.CLUSTER_SIMILARITY}")
+)

@@ -43,3 +43,11 @@ def test_later_memories_take_no_places_of_earlier_ones(spark, monkeypatch):
         want |= {(f"m{i:02}", f"m{j:02}") for _, j in best if j != i}
     got = [(x["memory_a_id"], x["memory_b_id"]) for x in detect.on_store(m, m, sure, 0.9).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_every_memory_is_a_new_one(spark, data):
+    m = reference._mem(spark, data, "embedding", "first_seq")
+    want = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in detect.on_store(m, m, similarity=0.82).collect()}
+    got = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in reference.QUERIES["store_conflicts_all"](spark, data).collect()}
+    some = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in reference.store_conflicts(spark, data).collect()}
+    assert got == want and some < got
