@@ -166,6 +166,29 @@ def store_conflicts_all(spark, root):
     return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
 
 
+def candidate_pairs_all(spark, root):
+    """The pairs at the engine's similarity; so are the three queries below."""
+    p = health.close_pairs(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now())
+    return p.select("agent_id", "seq_a", "seq_b", _r("similarity").alias("similarity"))
+
+
+def contradiction_score_all(spark, root):
+    m = _held(spark, root, "status", "expires_at", "embedding", "first_seq")
+    c = health.contradictions(m, _now(), hold(health.close_pairs(m, _now()), "pairs"))
+    return c.select("agent_id", "n_valid", "n_involved", "n_pairs", _r("contradiction_score").alias("contradiction_score"), _r("embedding_coverage").alias("embedding_coverage"))
+
+
+def health_scores_all(spark, root):
+    m = _held(spark, root, "status", "expires_at", "embedding", "first_seq", "updated_at", "importance", "has_provenance")
+    h = health.health(m, _conf(spark, root), _now())
+    return h.select("agent_id", "total_memories", "stale_count", "conflict_count", *[_r(c).alias(c) for c in ("freshness_score", "contradiction_score", "confidence_accuracy_gap", "score")], "risk_level")
+
+
+def new_conflicts_all(spark, root):
+    s = detect.scan(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _conf(spark, root), _now())
+    return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
+
+
 def components(spark, root):
     rows = consolidate.joined_pending(_mem(spark, root, "created_at", "importance"), _conf(spark, root))
     return consolidate.chains(spark, rows).select("agent_id", "memory_id", "component", "size")
@@ -314,7 +337,7 @@ def importance_rank(spark, root):
 
 
 _NAMES = """upsert_latest list_page status_counts usable_counts metadata_filter conflict_listing deleted_counts knn_topk knn_threshold distances search_topk search_enriched
-freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts store_conflicts_all components plan_actions plan_preflight execute_effects
+freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts store_conflicts_all candidate_pairs_all contradiction_score_all health_scores_all new_conflicts_all components plan_actions plan_preflight execute_effects
 execute_resolutions skipped_conflicts action_counts plan_views orphan_sources lineage_chains manifest provenance_json document_view contains_snippet pair_records
 invalid_memories invalid_conflicts invalid_actions category_scores overall_score failed_cases repeated_cases invalid_cases naive_view access_stats chat_history importance_rank""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -476,3 +499,5 @@ def _without(name: str, **cuts: str) -> str:
 ORACLE["store_conflicts_all"] = _without(
     "store_conflicts", new=(" WHERE (p.first_seq // 100) % 20 = 0", ""), earlier=("m.agent_id = p.agent_id", "m.agent_id = p.agent_id AND m.first_seq <= p.first_seq"), similar=(f"score >= {SIMILAR}", f"score >= {schema.CLUSTER_SIMILARITY}")
 )
+_ENGINE = (f"list_cosine_similarity(a.embedding, b.embedding) > {SIMILAR}", f"list_cosine_similarity(a.embedding, b.embedding) > {schema.CLUSTER_SIMILARITY}")
+ORACLE |= {f"{n}_all": _without(n, similar=_ENGINE) for n in ("candidate_pairs", "contradiction_score", "health_scores", "new_conflicts")}

@@ -51,3 +51,9 @@ def test_every_memory_is_a_new_one(spark, data):
     got = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in reference.QUERIES["store_conflicts_all"](spark, data).collect()}
     some = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in reference.store_conflicts(spark, data).collect()}
     assert got == want and some < got
+
+
+def test_pairs_at_the_similarity_of_the_engine(spark, data):
+    rows = lambda q: {(r["agent_id"], r["seq_a"], r["seq_b"]): r["similarity"] for r in reference.QUERIES[q](spark, data).collect()}
+    all_, some = rows("candidate_pairs_all"), rows("candidate_pairs")
+    assert some.keys() < all_.keys() and 0.82 < min(all_.values()) < 0.95
