@@ -22,14 +22,14 @@ class HealthConfig:
     half_life: float = schema.HALF_LIFE_DAYS
     stale_below: float = schema.STALE_BELOW
     similarity: float = schema.CLUSTER_SIMILARITY
-    probes: int = schema.PROBES
+    probes: int | None = schema.PROBES
     k: int = schema.PROBE_K
     weights: dict[str, float] = field(default_factory=lambda: dict(schema.WEIGHTS))
 
     def __post_init__(self) -> None:
         if self.half_life <= 0 or not 0 <= self.stale_below <= 1 or not -1 <= self.similarity <= 1:
             raise ValueError("half-life must be positive, thresholds within range")
-        if self.probes < 1 or self.k < 1:
+        if (self.probes is not None and self.probes < 1) or self.k < 1:
             raise ValueError("probes and k must be at least 1")
         if any(w < 0 for w in self.weights.values()) or sum(self.weights.values()) <= 0:
             raise ValueError("weights must not be negative, and not all zero")
@@ -82,12 +82,16 @@ def check_dimensions(mem: DataFrame) -> DataFrame:
 def confidence_gap(mem: DataFrame, as_of: Column, c: HealthConfig = HealthConfig()) -> DataFrame:
     """(agent_id, confidence_accuracy_gap, n_probed): mean distance of retrieval score and share of usable hits.
 
-    At most ``probes`` probes a tenant, drawn by hash and thus the same in every run.
+    At most ``probes`` probes a tenant, drawn by hash and thus the same in every run; all if None.
     """
-    cand = embedded(usable(mem, as_of))
-    draw = F.row_number().over(Window.partitionBy("agent_id").orderBy(F.md5("memory_id"), "memory_id"))
-    many = Window.partitionBy("agent_id")
-    probes = cand.select("agent_id", F.col("first_seq").alias("probe"), "embedding", "memory_id").withColumn("_n", draw).filter(F.col("_n") <= c.probes).withColumn("_all", F.count("*").over(many)).filter("_all >= 2")
+    cand = embedded(usable(mem, as_of)).select("agent_id", F.col("first_seq").alias("probe"), "embedding", "memory_id")
+    if c.probes is None:
+        several = cand.groupBy("agent_id").agg(F.count("*").alias("n")).filter("n >= 2")
+        probes = cand.join(several, "agent_id", "left_semi")
+    else:
+        draw = F.row_number().over(Window.partitionBy("agent_id").orderBy(F.md5("memory_id"), "memory_id"))
+        many = Window.partitionBy("agent_id")
+        probes = cand.withColumn("_n", draw).filter(F.col("_n") <= c.probes).withColumn("_all", F.count("*").over(many)).filter("_all >= 2")
     hits = search_many(mem, probes.select("agent_id", "probe", "embedding"), c.k + 1)
     facts = mem.select("agent_id", "memory_id", F.col("first_seq").alias("seq"), is_usable(as_of).alias("ok"))
     others = hits.join(facts, ["agent_id", "memory_id"]).filter("seq <> probe")

@@ -166,6 +166,12 @@ def store_conflicts_all(spark, root):
     return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
 
 
+def confidence_gap_all(spark, root):
+    """Every usable memory with a vector is a probe."""
+    g = health.confidence_gap(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now(), health.HealthConfig(probes=None))
+    return g.select("agent_id", _r("confidence_accuracy_gap").alias("confidence_accuracy_gap"), "n_probed")
+
+
 def candidate_pairs_all(spark, root):
     """The pairs at the engine's similarity; so are the three queries below."""
     p = health.close_pairs(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now())
@@ -180,7 +186,7 @@ def contradiction_score_all(spark, root):
 
 def health_scores_all(spark, root):
     m = _held(spark, root, "status", "expires_at", "embedding", "first_seq", "updated_at", "importance", "has_provenance")
-    h = health.health(m, _conf(spark, root), _now())
+    h = health.health(m, _conf(spark, root), _now(), health.HealthConfig(probes=None))
     return h.select("agent_id", "total_memories", "stale_count", "conflict_count", *[_r(c).alias(c) for c in ("freshness_score", "contradiction_score", "confidence_accuracy_gap", "score")], "risk_level")
 
 
@@ -337,7 +343,7 @@ def importance_rank(spark, root):
 
 
 _NAMES = """upsert_latest list_page status_counts usable_counts metadata_filter conflict_listing deleted_counts knn_topk knn_threshold distances search_topk search_enriched
-freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts store_conflicts_all candidate_pairs_all contradiction_score_all health_scores_all new_conflicts_all components plan_actions plan_preflight execute_effects
+freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts store_conflicts_all confidence_gap_all candidate_pairs_all contradiction_score_all health_scores_all new_conflicts_all components plan_actions plan_preflight execute_effects
 execute_resolutions skipped_conflicts action_counts plan_views orphan_sources lineage_chains manifest provenance_json document_view contains_snippet pair_records
 invalid_memories invalid_conflicts invalid_actions category_scores overall_score failed_cases repeated_cases invalid_cases naive_view access_stats chat_history importance_rank""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -500,4 +506,6 @@ ORACLE["store_conflicts_all"] = _without(
     "store_conflicts", new=(" WHERE (p.first_seq // 100) % 20 = 0", ""), earlier=("m.agent_id = p.agent_id", "m.agent_id = p.agent_id AND m.first_seq <= p.first_seq"), similar=(f"score >= {SIMILAR}", f"score >= {schema.CLUSTER_SIMILARITY}")
 )
 _ENGINE = (f"list_cosine_similarity(a.embedding, b.embedding) > {SIMILAR}", f"list_cosine_similarity(a.embedding, b.embedding) > {schema.CLUSTER_SIMILARITY}")
-ORACLE |= {f"{n}_all": _without(n, similar=_ENGINE) for n in ("candidate_pairs", "contradiction_score", "health_scores", "new_conflicts")}
+ORACLE |= {f"{n}_all": _without(n, similar=_ENGINE) for n in ("candidate_pairs", "contradiction_score", "new_conflicts")}
+_PROBES = ("n <= 50 AND n_all >= 2", "n_all >= 2")
+ORACLE |= {"confidence_gap_all": _without("confidence_gap", probes=_PROBES), "health_scores_all": _without("health_scores", similar=_ENGINE, probes=_PROBES)}

@@ -8,7 +8,7 @@ from conftest import frame
 from pyspark.sql import functions as F
 from test_reference import mem
 
-from loomary.operators import detect, similarity
+from loomary.operators import detect, health, similarity
 from loomary.plans import reference
 
 
@@ -57,3 +57,11 @@ def test_pairs_at_the_similarity_of_the_engine(spark, data):
     rows = lambda q: {(r["agent_id"], r["seq_a"], r["seq_b"]): r["similarity"] for r in reference.QUERIES[q](spark, data).collect()}
     all_, some = rows("candidate_pairs_all"), rows("candidate_pairs")
     assert some.keys() < all_.keys() and 0.82 < min(all_.values()) < 0.95
+
+
+def test_gap_of_all_probes(spark):
+    r = random.Random(8)
+    m = mem(spark, [{"memory_id": f"m{i:03}", "embedding": [r.random(), r.random()]} for i in range(120)])
+    gap = lambda n: health.confidence_gap(m, F.lit("2026-06-01").cast("timestamp"), health.HealthConfig(probes=n)).first()
+    assert gap(None)["n_probed"] == 120 and gap(50)["n_probed"] == 50
+    assert gap(None)["confidence_accuracy_gap"] == pytest.approx(gap(1000)["confidence_accuracy_gap"])
