@@ -64,3 +64,9 @@ def test_held_out_labels_of_the_tables(spark):
     share, _ = m.shares([subjects.encode(x, m.vocabulary) for x, _, _ in all_[cut:]])
     pairs = [(i, names.index(s)) for i, (_, _, ls) in enumerate(all_[cut:]) for s in ls if s in names]
     assert sum(share[i, s] >= subjects.SHARE for i, s in pairs) >= 0.9 * len(pairs)  # about one label in twenty is wrong
+
+
+def test_training_takes_twelve_thousand_labelled_documents(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "'some text.' AS text", "'en' AS lang")
+    labels = spark.range(10_000).selectExpr("id AS doc_id", "'law' AS subject")
+    assert len(subjects.labelled(docs, labels)) == 10_000
