@@ -2,16 +2,25 @@
 
 A profile is a list of columns; a column maps each token seen there (None: a gap) to its vote.
 Two ways to add up votes: ``sum`` adds weights; ``rank`` lets a voter outweigh all less trusted
-ones together, so a vote is that of the most trusted supporter.  Both can be merged in any order.
+ones together, so a vote is that of the most trusted supporter.
+
+An alignment matches as many tokens as possible (a longest common subsequence), at any length: the
+dynamic programme runs over whole rows, and of a long one only every so many rows are kept, from
+which the way back recomputes the others.  Memory grows with the square root of the cells, and the
+alignment is the same as with all rows at hand.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Container
+from math import isqrt
+
+import numpy as np
 
 TOKENS = re.compile(r"\s+|\w+|[^\w\s]")
-#: Cells of one exact dynamic programme.  Longer stretches are first cut at tokens that are unique in both.
-CELLS = 250_000
+#: Cells of the dynamic programme up to which all rows are kept.
+CELLS = 1_000_000
 
 Vote = tuple  # rank: (-trust, id), the smallest wins; sum: (-weight, id)
 
@@ -21,8 +30,9 @@ def tokens(value: str) -> list[str]:
     return TOKENS.findall(value)
 
 
-def best(votes: dict, mode: str):
-    return min(votes.items(), key=lambda kv: kv[1])[0] if votes else None
+def best(votes: dict):
+    """The token with the best vote; a gap wins ties, then the smallest id."""
+    return min(votes.items(), key=lambda kv: (kv[1][0], kv[0] is not None, kv[1][1]))[0]
 
 
 def add_vote(votes: dict, token, vote: Vote, mode: str) -> None:
@@ -35,108 +45,92 @@ def add_vote(votes: dict, token, vote: Vote, mode: str) -> None:
         votes[token] = min(had, vote)
 
 
-def _dp(a: list, b: list, same) -> list[tuple[int, int]]:
-    """Global alignment by longest common subsequence: pairs (i, j), -1 for a gap."""
-    n, m = len(a), len(b)
+def _matches(columns: list[Container], seq: list[str]) -> list[tuple[int, int]]:
+    """Positions (i, j), rising in both, of most tokens ``seq[j]`` that are in ``columns[i]``."""
+    n, m = len(columns), len(seq)
     if not n or not m:
-        return [(i, -1) for i in range(n)] + [(-1, j) for j in range(m)]
-    if n * m > CELLS:  # no anchors left in a stretch this long: position by position
-        k = min(n, m)
-        return [(i, i) for i in range(k)] + [(i, -1) for i in range(k, n)] + [(-1, j) for j in range(k, m)]
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = score[i], score[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = 2 + below[j + 1] if same(a[i], b[j]) else max(below[j], row[j + 1], below[j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if same(a[i], b[j]) or (score[i][j] == score[i + 1][j + 1]):
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif score[i][j] == score[i + 1][j]:
-            out.append((i, -1))
-            i += 1
-        else:
-            out.append((-1, j))
-            j += 1
-    return out + [(x, -1) for x in range(i, n)] + [(-1, x) for x in range(j, m)]
-
-
-def _anchors(a: list, b: list) -> list[tuple[int, int]]:
-    """Rising pairs of tokens that occur once in both (longest such run)."""
-    from bisect import bisect_left
-
-    def once(s):
-        at: dict = {}
-        for i, t in enumerate(s):
-            at[t] = -1 if t in at else i
-        return {t: i for t, i in at.items() if i >= 0}
-
-    ub = once(b)
-    pairs = sorted((i, ub[t]) for t, i in once(a).items() if t in ub)
-    tops, ends, back = [], [], {}
-    for i, j in pairs:
-        k = bisect_left(tops, j)
-        back[(i, j)] = ends[k - 1] if k else None
-        tops[k : k + 1], ends[k : k + 1] = [j], [(i, j)]
-    out, p = [], ends[-1] if ends else None
-    while p:
-        out.append(p)
-        p = back[p]
+        return []
+    code: dict[str, int] = {}
+    b = np.array([code.setdefault(t, len(code)) for t in seq], np.int32)
+
+    def hits(i: int) -> np.ndarray:
+        col = columns[i]
+        known = [code[t] for t in col if t in code]
+        return np.isin(b, known) if len(known) > 3 else np.logical_or.reduce([b == c for c in known]) if known else np.zeros(m, bool)
+
+    def row(above: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros(m + 1, np.int32)
+        out[1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + hits(i)))
+        return out
+
+    step = n if n * m <= CELLS else isqrt(n) + 1
+    kept, r = [np.zeros(m + 1, np.int32)], np.zeros(m + 1, np.int32)
+    for i in range(n - 1 if n % step else n - step):  # rows at which a block starts
+        r = row(r, i)
+        if (i + 1) % step == 0:
+            kept.append(r)
+    out, j = [], m
+    for at in range((n - 1) // step, -1, -1):
+        block = [kept[at]]
+        for i in range(at * step, min(n, (at + 1) * step)):
+            block.append(row(block[-1], i))
+        i = len(block) - 1
+        while i and j:
+            if block[i][j] == block[i - 1][j]:
+                i -= 1
+            elif block[i][j] == block[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((at * step + i, j))
     return out[::-1]
 
 
-def align(keys: list, seq: list, same, exact: bool) -> list[tuple[int, int]]:
-    """Pairs of positions in ``keys`` and ``seq``; long inputs are cut at anchors first."""
-    if exact or len(keys) * len(seq) <= CELLS:
-        return _dp(keys, seq, same)
-    out, i, j = [], 0, 0
-    for x, y in [*_anchors(keys, seq), (len(keys), len(seq))]:
-        out += [(p + i if p >= 0 else -1, q + j if q >= 0 else -1) for p, q in _dp(keys[i:x], seq[j:y], same)]
-        if x < len(keys):
-            out.append((x, y))
-        i, j = x + 1, y + 1
-    return out
+def align(columns: list[Container], seq: list[str]) -> list[tuple[int, int]]:
+    """Pairs of positions in ``columns`` and ``seq``, -1 for a gap; unmatched stretches pair up in order."""
+    n, m = len(columns), len(seq)
+    lo = 0
+    while lo < n and lo < m and seq[lo] in columns[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(n, m) - lo and seq[m - 1 - hi] in columns[n - 1 - hi]:
+        hi += 1
+    inner = [(i + lo, j + lo) for i, j in _matches(columns[lo : n - hi], seq[lo : m - hi])]
+    out, x, y = [(i, i) for i in range(lo)], lo, lo
+    for i, j in [*inner, (n - hi, m - hi)]:
+        k = min(i - x, j - y)
+        out += [(x + d, y + d) for d in range(k)] + [(d, -1) for d in range(x + k, i)] + [(-1, d) for d in range(y + k, j)]
+        if i < n - hi and j < m - hi:
+            out.append((i, j))
+        x, y = i + 1, j + 1
+    return out + [(n - hi + d, m - hi + d) for d in range(hi)]
 
 
 class Profile:
-    def __init__(self, mode: str, columns: list[dict] | None = None, total: Vote | None = None):
-        self.mode, self.columns, self.total = mode, columns or [], total
+    """Sequences aligned so far, with the votes of each column."""
 
-    def _gap(self) -> dict:
-        return {None: self.total} if self.total else {}
+    def __init__(self, mode: str):
+        self.mode, self.columns, self.total = mode, [], None
 
-    def merge(self, other: Profile) -> None:
-        """Align another profile to this one, column by column, and add up the votes."""
+    def add(self, seq: list[str], vote: Vote) -> None:
         if self.total is None:
-            self.columns, self.total = other.columns, other.total
+            self.columns, self.total = [{t: vote} for t in seq], vote
             return
-        short = len(self.columns) * len(other.columns) <= CELLS
-        if short:  # columns match if they share a token; disjointness is tested on the smaller set
-            mine, theirs = ([frozenset(t for t in c if t is not None) for c in p.columns] for p in (self, other))
-            same = lambda x, y: not x.isdisjoint(y)
-        else:
-            mine, theirs = ([best(c, self.mode) for c in p.columns] for p in (self, other))
-            same = lambda x, y: x == y and x is not None
         columns = []
-        for i, j in align(mine, theirs, same, short):
-            votes = dict(self.columns[i]) if i >= 0 else self._gap()
-            for t, v in (other.columns[j] if j >= 0 else other._gap()).items():
-                add_vote(votes, t, v, self.mode)
+        for i, j in align(self.columns, seq):
+            votes = self.columns[i] if i >= 0 else {None: self.total}
+            add_vote(votes, seq[j] if j >= 0 else None, vote, self.mode)
             columns.append(votes)
-        total: dict = {0: self.total}
-        add_vote(total, 0, other.total, self.mode)
+        total = {0: self.total}
+        add_vote(total, 0, vote, self.mode)
         self.columns, self.total = columns, total[0]
 
-    def add(self, seq: list[str], vote: Vote) -> None:
-        self.merge(Profile(self.mode, [{t: vote} for t in seq], vote))
-
     def consensus(self) -> list[str]:
-        return [t for t in (best(c, self.mode) for c in self.columns) if t is not None]
+        return [t for t in map(best, self.columns) if t is not None]
 
 
 def distance(a: list[str], b: list[str]) -> int:
     """Tokens to change, add or drop from ``a`` to ``b`` under their alignment."""
     if a == b:
         return 0
-    return sum(1 for i, j in align(a, b, lambda x, y: x == y, False) if i < 0 or j < 0 or a[i] != b[j])
+    return sum(1 for i, j in align([(t,) for t in a], b) if i < 0 or j < 0 or a[i] != b[j])

@@ -17,6 +17,14 @@ def p1_survivors(spark: SparkSession, root: str) -> DataFrame:
     return survivor.all_survivors(spark, table(spark, root, "memories"), table(spark, root, "conflicts"))
 
 
+#: The present of the recency weights.
+P1_AS_OF = "2026-07-01 00:00:00"
+
+
+def p1_consensus(spark: SparkSession, root: str) -> DataFrame:
+    return survivor.consensus_survivors(spark, table(spark, root, "memories"), table(spark, root, "conflicts"), F.lit(P1_AS_OF).cast("timestamp"))
+
+
 #: Key of the pseudonyms; a deployment passes its own secret.
 P2_KEY = b"example key of the test queries"
 
@@ -89,6 +97,7 @@ def p9_composition(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
+    "p1_consensus": p1_consensus,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
     "p4_found": p4_found,
