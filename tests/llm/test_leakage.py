@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 
@@ -45,3 +46,14 @@ def test_hidden_characters_and_odd_rows(spark):
     assert solve(spark, docs, items) == {(1, 7), (5, 7)}
     assert solve(spark, docs, []) == set()
     assert solve(spark, [], items) == set()
+
+
+def test_index_survives_being_sent_and_tells_equal_hashes_apart(monkeypatch):
+    items = [(5, "a b c d e a b c d e"), (6, "a b c d e f"), (7, "x y z")]
+    whole = pickle.loads(pickle.dumps(leakage.ItemIndex(items, 5)))
+    assert {whole.ids[d]: n for d, n in whole.leaks("q a b c d e a").items()} == {5: 2, 6: 1}
+    assert [whole.n_runs(d) for d in range(2)] == [5, 2]
+    want, plain = whole.leaks("q a b c d e a"), leakage.ItemIndex._hashes
+    monkeypatch.setattr(leakage.ItemIndex, "_hashes", lambda self, w, s: plain(self, w, s) % (4 if self.salt == 0 else 1 << 62))
+    again = leakage.ItemIndex(items, 5)
+    assert again.salt > 0 and again.leaks("q a b c d e a") == want
