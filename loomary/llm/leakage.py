@@ -200,15 +200,15 @@ class ItemIndex:
             c[0] = self.items[c[1]] if c[1] < end else -1
         cursors[:] = [c for c in cursors if c[0] >= 0]
 
-    def _known(self, passage: list[int]) -> np.ndarray:
+    def _known(self, passage: list[int]) -> set[int]:
         """The distinct runs of the index that a passage holds."""
         w = np.asarray(passage, np.int32)
         starts = np.arange(len(w) - self.run + 1)
         k = np.minimum(np.searchsorted(self.hashes, h := self._hashes(w, starts)), len(self.hashes) - 1)
         ok = self.hashes[k] == h
-        for i in range(self.run):
+        for i in range(self.run) if ok.any() else ():
             ok &= self.words[self.at[k] + i] == w[starts + i]
-        return np.unique(k[ok])
+        return set(k[ok].tolist())
 
     def leaks(self, text: str) -> dict[int, int]:
         """Leaked items of a text, with the number of their runs found in it."""
@@ -216,10 +216,9 @@ class ItemIndex:
         for p in self.passages(text):
             if hits := self.search(p):
                 here = self._known(p)
-                for d in hits:
-                    common = np.intersect1d(here, self.run_ids[self.run_off[d] : self.run_off[d + 1]], assume_unique=True)
-                    if len(common):
-                        out.setdefault(d, set()).update(common.tolist())
+                for d in hits if here else ():
+                    if common := here.intersection(self.run_ids[self.run_off[d] : self.run_off[d + 1]].tolist()):
+                        out.setdefault(d, set()).update(common)
         return {d: len(s) for d, s in out.items()}
 
     def n_runs(self, d: int) -> int:
