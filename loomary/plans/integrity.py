@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, orphans
+from ..session import Scratch
 from ..sources.tables import table
 
 
@@ -29,11 +30,29 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("table_name", "field", "version_seq", "reason", "period")
 
 
+#: Batches in which the logs are replayed.
+P5_BATCHES = 4
+
+
+def p5_replayed(spark: SparkSession, root: str) -> DataFrame:
+    """The same references from counters maintained over several batches of both logs."""
+    state = orphans.ReferenceState(spark, Scratch(spark, "state").root)
+    found = orphans.replayed(state, table(spark, root, "memories"), table(spark, root, "conflicts"), P5_BATCHES)
+    return found.select("table_name", "field", "version_seq", "reason", "period")
+
+
+def p5_keys(spark: SparkSession, root: str) -> DataFrame:
+    """The orphan keys of the counters, with the references each has."""
+    state = orphans.ReferenceState(spark, Scratch(spark, "state").root)
+    orphans.replayed(state, table(spark, root, "memories"), table(spark, root, "conflicts"), P5_BATCHES)
+    return orphans.orphan_keys(state.counts()).select("agent_id", F.col("key").alias("memory_id"), "refs", (F.col("ever") > 0).alias("was_there"))
+
+
 def p5_report(spark: SparkSession, root: str) -> DataFrame:
     return orphans.report(orphans.orphans(table(spark, root, "memories"), table(spark, root, "conflicts")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_replayed": p5_replayed, "p5_keys": p5_keys, "p5_report": p5_report}
 
 _MEM = """mem_all AS (SELECT * FROM (SELECT *, lower(trim(memory_id)) AS mid, row_number() OVER (PARTITION BY agent_id, lower(trim(memory_id)) ORDER BY version_seq DESC) AS rn FROM memories) WHERE rn = 1),
 mem AS (SELECT * FROM mem_all WHERE op IS DISTINCT FROM 'delete')"""
@@ -68,5 +87,7 @@ ORACLE = {
     "p3_paths": f"WITH RECURSIVE {_LINKS} SELECT agent_id, memory_id, root_id, depth, coalesce(array_to_string(path, '>'), '') AS path FROM nodes",
     "p3_descendants": f"WITH RECURSIVE {_LINKS} SELECT agent_id, path[i] AS memory_id, memory_id AS descendant_id, depth - i + 1 AS distance FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM nodes WHERE depth > 0)",
     "p5_found": f"WITH {_ORPHANS} SELECT table_name, field, version_seq, reason, period FROM judged WHERE reason IS NOT NULL",
+    "p5_replayed": f"WITH {_ORPHANS} SELECT table_name, field, version_seq, reason, period FROM judged WHERE reason IS NOT NULL",
+    "p5_keys": f"WITH {_ORPHANS} SELECT r.agent_id, r.k AS memory_id, count(*) AS refs, bool_or(m.mid IS NOT NULL) AS was_there FROM refs r LEFT JOIN mem_all m ON m.agent_id = r.agent_id AND m.mid = r.k WHERE r.k IS NOT NULL AND (m.mid IS NULL OR m.op = 'delete') GROUP BY ALL",
     "p5_report": f"WITH {_ORPHANS} SELECT table_name, field, reason, period, count(*) AS n_refs FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
 }

@@ -1,3 +1,5 @@
+import random
+
 from conftest import frame
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -60,5 +62,30 @@ def test_parents_of_memories(spark):
         ("a", "m3", None, ["M1", "m4", None], 3, "insert", "x"), ("a", "m4", "gone", [], 4, "insert", "x"), ("a", "gone", None, None, 5, "delete", "x"),
         ("b", "m1", "m2", None, 6, "insert", "x"), ("a", None, "m2", None, 7, "insert", "x"),
     ]
+    ddl, rows = ddl + ", first_seq bigint", [(*r, r[4]) for r in rows]
     links = {(r["agent_id"], r["child"], r["parent"]) for r in hierarchy.memory_links(frame(spark, ddl, rows)).collect()}
     assert links == {("a", "m1", "m2"), ("a", "m4", "m3")}
+
+
+def test_forests_merge_hierarchically_along_a_locality(spark):
+    r = random.Random(4)
+    n, parent = 6_000, {}
+    for i in range(n):
+        up = i + r.randrange(1, 8)
+        if up < n and r.random() < 0.97:
+            parent[f"n{i:05}"] = f"n{up:05}"
+    parent |= {f"n{i:05}": f"n{i + 1500:05}" for i in (10, 1510, 3010)} | {"n04510": "n00010"}  # a circle over many chunks
+    rows = [("a", c, p, int(c[1:])) for c, p in parent.items()] + [("b", "x", "y", None)]
+    seen = []
+    got = hierarchy.resolve(spark, frame(spark, LINKS + ", at bigint", rows), chunk_links=200, seen=seen).collect()
+    assert {(x["agent_id"], x["node"]): (x["root_id"], x["depth"]) for x in got} == {("a", k): v for k, v in brute(parent).items()} | {("b", "x"): ("y", 1), ("b", "y"): ("y", 0)}
+    inner = len(set(parent.values()) & set(parent))
+    assert seen and seen[0] <= inner / 10
+
+
+def test_paths_over_levels(spark):
+    links = {f"c{i:03}": f"c{i + 1:03}" for i in range(100)} | {"side": "c050", "p": "q", "q": "p", "t": "p"}
+    rows = [("a", c, p, int(c[1:]) if c[1:].isdigit() else 50) for c, p in links.items()]
+    got = {x["node"]: x["path"] for x in hierarchy.resolve(spark, frame(spark, LINKS + ", at bigint", rows), paths=True, chunk_links=8).collect()}
+    assert got["c000"] == [f"c{i:03}" for i in range(100, -1, -1)] and got["side"] == [f"c{i:03}" for i in range(100, 49, -1)] + ["side"]
+    assert got["t"] is None and got["p"] is None
