@@ -134,7 +134,7 @@ class ReferenceState:
     names.  ``compact`` folds all batches into one.
     """
 
-    BUCKETS = 64
+    BUCKETS = 32
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -183,12 +183,12 @@ class ReferenceState:
         names = [b for b in self.batches()]
         return 1 + max([int(b.split("@")[1]) if "@" in b else self._order(b) for b in names], default=0)
 
-    def apply(self, name: str, log: DataFrame, of: Referrer) -> None:
+    def apply(self, name: str, *logs: tuple[DataFrame, Referrer]) -> None:
         """Take in a batch of log rows under a name; a batch of a known name changes nothing."""
         if self._fs.exists(self._path(f"{self.path}/done-{name}")):
             return
         scratch = Scratch(self.spark, "references")
-        changed = scratch.save(versions(log, of), "changed")
+        changed = scratch.save(reduce(DataFrame.unionByName, [versions(log, of) for log, of in logs]), "changed")
         touched = [r[0] for r in changed.select(self._bucket("agent_id", "record_id")).distinct().collect()]  # at most BUCKETS numbers
         news, gone = changes(self.records(touched), changed)
         news = scratch.save(news, "news")
@@ -214,8 +214,7 @@ def replayed(state: ReferenceState, memories: DataFrame, conflicts: DataFrame, b
     if lo is not None:
         for i in range(batches):
             part = F.floor((F.col("version_seq") - lo) * batches / (hi - lo + 1)) == i
-            state.apply(f"memories-{i}", memories.filter(part), MEMORIES)
-            state.apply(f"conflicts-{i}", conflicts.filter(part), CONFLICTS)
+            state.apply(f"part-{i}", (memories.filter(part), MEMORIES), (conflicts.filter(part), CONFLICTS))
     return state.orphans()
 
 

@@ -68,11 +68,11 @@ def test_state_in_batches_replays_and_compaction(spark, tmp_path):
         state = orphans.ReferenceState(spark, f"{tmp_path}/s{seed}")
         random.Random(seed).shuffle(mem)
         for i in range(0, len(mem), 15):
-            state.apply(f"memories-{i}", frame(spark, MEM, mem[i : i + 15] + mem[:3]), orphans.MEMORIES)
-            state.apply(f"memories-{i}", frame(spark, MEM, mem[:9]), orphans.MEMORIES)  # a replay under the same name
+            state.apply(f"memories-{i}", (frame(spark, MEM, mem[i : i + 15] + mem[:3]), orphans.MEMORIES))
+            state.apply(f"memories-{i}", (frame(spark, MEM, mem[:9]), orphans.MEMORIES))  # a replay under the same name
         state.compact()
-        state.apply("conflicts-0", frame(spark, CON, con[::2]), orphans.CONFLICTS)
-        state.apply("conflicts-1", frame(spark, CON, con), orphans.CONFLICTS)
+        state.apply("conflicts-0", (frame(spark, CON, con[::2]), orphans.CONFLICTS))
+        state.apply("conflicts-1", (frame(spark, CON, con), orphans.CONFLICTS))
         assert row(state.orphans()) == want
         state.compact()
         assert len(state.batches()) == 1 and row(state.orphans()) == want
@@ -81,11 +81,11 @@ def test_state_in_batches_replays_and_compaction(spark, tmp_path):
 def test_a_batch_that_broke_off_counts_once(spark, tmp_path):
     mem, con = random_logs(5)
     state = orphans.ReferenceState(spark, str(tmp_path))
-    state.apply("memories-0", frame(spark, MEM, mem), orphans.MEMORIES)
+    state.apply("memories-0", (frame(spark, MEM, mem), orphans.MEMORIES))
     want = sorted(map(tuple, state.counts().collect()))
     state._fs.delete(state._path(f"{tmp_path}/done-memories-0"), False)  # written, but never marked
     assert state.counts().count() == 0
-    state.apply("memories-0", frame(spark, MEM, mem), orphans.MEMORIES)
+    state.apply("memories-0", (frame(spark, MEM, mem), orphans.MEMORIES))
     assert sorted(map(tuple, state.counts().collect())) == want
 
 
