@@ -74,14 +74,30 @@ def p7_overlap(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked(spark, table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
+#: The domains of the sources.
+P8_DOMAINS = {
+    "chat_export": "conversation", "forum_archive": "conversation", "voice_transcript": "conversation", "kb_article": "knowledge", "policy_page": "knowledge",
+    "eval_writeup": "knowledge", "skill_card": "knowledge", "handoff_note": "operations", "ticket_log": "operations", "tool_trace": "operations",
+}
+
+
 def p8_selection(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixing.mix(spark, table(spark, root, "documents"), table(spark, root, "mix_targets"), domains=P8_DOMAINS)
 
 
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(p8_selection(spark, root), table(spark, root, "mix_targets"))
 
 
+def p8_budget(spark: SparkSession, root: str) -> DataFrame:
+    """As many tokens as there are: small sources run short, and their siblings take over."""
+    return mixing.mix(spark, table(spark, root, "documents"), table(spark, root, "mix_targets"), domains=P8_DOMAINS, corpora=1.0)
+
+
+def p8_budget_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(p8_budget(spark, root), table(spark, root, "mix_targets"))
+
+
 def _areas(spark: SparkSession, root: str) -> DataFrame:
     return subjects.subject_areas(spark, table(spark, root, "documents"), table(spark, root, "doc_labels"), table(spark, root, "subjects"))
 
@@ -108,6 +124,8 @@ QUERIES = {
     "p7_overlap": p7_overlap,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
+    "p8_budget": p8_budget,
+    "p8_budget_shares": p8_budget_shares,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
