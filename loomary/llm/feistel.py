@@ -48,17 +48,15 @@ def permute(key: bytes, digits: str, tweak: str = "", valid: Callable[[str], boo
     return out
 
 
-_FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+_FIRST, _LAST, _MAX = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal(), date.max.toordinal()
 
 
 def permute_date(key: bytes, day: date, back: bool = False) -> date:
-    """A day of 1900 to 2099 as another one; others stay."""
-    n = day.toordinal()
-    if not _FIRST <= n <= _LAST:
-        return day
-    span = _LAST - _FIRST
-    out = permute(key, str(n - _FIRST).zfill(len(str(span))), "date", lambda d: int(d) <= span, back)
-    return date.fromordinal(_FIRST + int(out))
+    """A day of 1900 to 2099 as another one of these years; any other day as another of the others."""
+    lived = lambda d: _FIRST <= int(d) <= _LAST if 1 <= int(d) <= _MAX else None
+    n = str(day.toordinal()).zfill(len(str(_MAX)))
+    own = lived(n)
+    return date.fromordinal(int(permute(key, n, "date", lambda d: lived(d) is own, back)))
 
 
 def rewrite(template: str, digits: str) -> str:

@@ -190,31 +190,34 @@ class Model:
         if now:
             yield now, np.array(which), np.array(langs)
 
-    def shares(self, batch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(documents x subjects) shares of sentences, and sentences per document."""
-        n, hits = np.zeros(len(batch), np.int64), np.zeros((len(batch), len(self.subjects)))
+    def scored(self, batch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``sentences`` of documents of any length."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for docs, which, langs in self.pieces(batch):
             doc, best, gain = self.sentences(docs, langs)
-            doc = which[doc]
-            n += np.bincount(doc, minlength=len(batch))
-            ok = (gain >= self.bound) & (gain > 0)
-            np.add.at(hits, (doc[ok], best[ok]), 1)
-        return hits / np.maximum(n, 1)[:, None], n
-
-    def accepted(self, batch: list[np.ndarray], share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+            out.append((which[doc], best, gain))
+        doc, best, gain = (np.concatenate(x) for x in zip(*out, strict=True))
+        return doc, best, gain
+
+    def shares(self, n: int, doc: np.ndarray, best: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """(documents x subjects) shares of the sentences of ``n`` documents."""
+        hits = np.zeros((n, len(self.subjects)))
+        ok = (gain >= self.bound) & (gain > 0)
+        np.add.at(hits, (doc[ok], best[ok]), 1)
+        return hits / np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
+
+    def accepted(self, n: int, doc: np.ndarray, best: np.ndarray, gain: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
         """(documents x subjects) whether a document deals with a subject, and the shares."""
-        part, _ = self.shares(batch)
+        part = self.shares(n, doc, best, gain)
         ok = part >= share - 1e-9
         last = next((i for i, s in enumerate(self.subjects) if s.strip().lower() == LAST_RESORT), -1)
         if last >= 0:
             ok[ok.sum(1) > 1, last] = False
         return ok, part
 
-    def gains(self, batch: list[np.ndarray], total: np.ndarray) -> None:
-        """Add the sentences' gains to a histogram."""
-        for docs, _, langs in self.pieces(batch):
-            _, _, g = self.sentences(docs, langs)
-            total += np.bincount(np.clip(g / WIDTH, 0, BINS - 1).astype(np.int64), minlength=BINS)
+
+def histogram(gain: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip(gain / WIDTH, 0, BINS - 1).astype(np.int64), minlength=BINS)
 
 
 @dataclass
@@ -280,7 +283,8 @@ def fit(s: Sample, subjects: list[str], tongue: np.ndarray, keys: np.ndarray, co
     for _ in range(rounds):
         gain = np.zeros((len(first), k), np.float32)
         for x in range(k):
-            c = np.bincount(at, weights=soft[row, x], minlength=size).reshape(n_lang, words)
+            mine = np.flatnonzero(np.repeat(soft[:, x] > 0, n))
+            c = np.bincount(at[mine], weights=soft[row[mine], x], minlength=size).reshape(n_lang, words)
             for g in range(n_lang):
                 m.uni[x, g * words : (g + 1) * words] = _ratios(c[g], background[g], W1 + W2)
             np.minimum(m.uni[x], cap[x], out=m.uni[x])
@@ -290,7 +294,7 @@ def fit(s: Sample, subjects: list[str], tongue: np.ndarray, keys: np.ndarray, co
         ok = gain[np.arange(len(best)), best] > np.log(1 + 3 * (W1 + W2))  # as much as one word that is four times as likely
         soft[ok, best[ok]] = 1
     if len(keys):
-        _bigrams(m, at, ids, sent, soft[row], background, keys, counts)
+        _bigrams(m, at, ids, sent, row, soft, background, keys, counts)
     return m
 
 
@@ -314,7 +318,7 @@ def _support(at: np.ndarray, doc: np.ndarray, lang: np.ndarray, labels: np.ndarr
     return out
 
 
-def _bigrams(m: Model, at: np.ndarray, ids: np.ndarray, sent: np.ndarray, soft: np.ndarray, background: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+def _bigrams(m: Model, at: np.ndarray, ids: np.ndarray, sent: np.ndarray, row: np.ndarray, soft: np.ndarray, background: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
     """Ratios of the modelled bigrams, interpolated with their last word's."""
     words, size = m.tongue.shape[1], m.tongue.size
     inside = np.flatnonzero(sent[1:] == sent[:-1])
@@ -328,8 +332,10 @@ def _bigrams(m: Model, at: np.ndarray, ids: np.ndarray, sent: np.ndarray, soft:
     base = W2 * p2 + (1 - W2) * p1
     m.keys, m.bi = keys, np.zeros((len(m.subjects), len(keys)), np.float32)
     for x in range(len(m.subjects)):
-        c2 = np.bincount(k[hit], weights=soft[inside, x][hit], minlength=len(keys))
-        c1 = np.bincount(at[inside], weights=soft[inside, x], minlength=size)[head]
+        mine = soft[row[inside], x]
+        on = np.flatnonzero(mine)
+        c2 = np.bincount(k[on][hit[on]], weights=mine[on][hit[on]], minlength=len(keys))
+        c1 = np.bincount(at[inside[on]], weights=mine[on], minlength=size)[head]
         s2 = (c2 + SMOOTH / 10 * p2) / (c1 + SMOOTH / 10)
         s1 = ((np.exp(m.uni[x][lang * words + word]) - 1 + (W1 + W2)) / (W1 + W2)) * p1
         m.bi[x] = np.clip(np.log((W2 * s2 + W1 * s1 + (1 - W1 - W2) * p1) / base), -3, 3)
@@ -357,10 +363,10 @@ def calibrated(m: Model, held: Sample, scale: float) -> float:
     want = held.labels > 0
     if not want.any() or scale <= 0:
         return scale / 4
-    scores = []
+    scores, sentences = [], m.scored(held.docs)
     for part in TRIED:
         m.bound = part * scale
-        ok, _ = m.accepted(held.docs)
+        ok, _ = m.accepted(len(held.docs), *sentences)
         scores.append(2 * (ok & want).sum() / max(1, ok.sum() + want.sum()))
     good = [p for p, f in zip(TRIED, scores, strict=True) if f >= max(scores) - 0.001]
     return good[len(good) // 2] * scale
@@ -378,9 +384,7 @@ def train(rows: list[tuple[str, str, list[str]]], subjects: list[str], rounds: i
     counts = np.zeros(2 * tongue.size + len(keys), np.int64)
     background_counts(s.docs, tongue, keys, counts)
     m = fit(s, subjects, tongue, keys, counts, rounds)
-    h = np.zeros(BINS, np.int64)
-    m.gains(s.docs, h)
-    m.bound = calibrated(fit(s.part(False), subjects, tongue, keys, counts, rounds), s.part(True), valley(h))
+    m.bound = calibrated(fit(s.part(False), subjects, tongue, keys, counts, rounds), s.part(True), valley(histogram(m.scored(s.docs)[2])))
     return m
 
 
@@ -421,50 +425,78 @@ def encoded(scratch: Scratch, documents: DataFrame, vocabulary: dict[str, int])
     return scratch.save(docs.mapInArrow(run, "doc_id bigint, tag string, ids binary"), "encoded")
 
 
-def classify(docs: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
-    """(doc_id, subject, share): the subjects of each document of ``encoded``.
+def scored(scratch: Scratch, docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, best, gain): of each document of ``encoded`` the best subject of every sentence and its gain, written once."""
+    sent = scratch.spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, best, gain = sent.value.scored(_ids(b))
+            cuts = np.cumsum(np.bincount(doc, minlength=b.num_rows))[:-1]
+            part = lambda x, kind: pa.array([y.tobytes() for y in np.split(x.astype(kind), cuts)], pa.binary())
+            yield pa.record_batch([b.column("doc_id"), part(best, np.uint16), part(gain, np.float32)], names=["doc_id", "best", "gain"])
+
+    return scratch.save(docs.mapInArrow(run, "doc_id bigint, best binary, gain binary"), "scored")
+
+
+def _gains(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("gain").to_pylist()), np.float32)
+
+
+def classify(rows: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
+    """(doc_id, subject, share): the subjects of each document of ``scored``.
 
     ``LAST_RESORT`` only stands where there is no other subject.  Null and empty texts and those
     without a word have none; repeated rows of a document are one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    small = Model(model.subjects, {}, *[np.zeros((0, 0))] * 4, bound=model.bound)  # the decision needs no words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            ok, part = m.accepted(_ids(b), share)
+            best = [np.frombuffer(x, np.uint16) for x in b.column("best").to_pylist()]
+            doc = np.repeat(np.arange(len(best)), [len(x) for x in best])
+            ok, part = small.accepted(len(best), doc, np.concatenate([np.zeros(0, np.uint16), *best]).astype(np.int64), _gains(b), share)
             d, s = np.nonzero(ok)
-            yield pa.record_batch({"doc_id": b.column("doc_id").take(pa.array(d)), "subject": pa.array(np.asarray(m.subjects, object)[s], pa.string()), "share": pa.array(part[d, s])})
+            yield pa.record_batch({"doc_id": b.column("doc_id").take(pa.array(d)), "subject": pa.array(np.asarray(small.subjects, object)[s], pa.string()), "share": pa.array(part[d, s])})
 
-    return docs.mapInArrow(run, "doc_id bigint, subject string, share double").groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
+    return rows.mapInArrow(run, "doc_id bigint, subject string, share double").groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
 
 
-def trained(docs: DataFrame, sample: Sample, subjects: list[str]) -> Model:
-    """The model of a sample against all encoded documents."""
+def trained(scratch: Scratch, docs: DataFrame, sample: Sample, subjects: list[str]) -> tuple[Model, DataFrame]:
+    """The model of a sample against all encoded documents, and the documents scored by it."""
     sc = docs.sparkSession.sparkContext
     words = len(sample.vocabulary) + 1
     langs = frequent({r[0]: r[1] for r in docs.groupBy("tag").agg(F.count("*")).collect()})  # language tags have at most three letters
-    told = summed(docs.select("tag", "ids"), lambda b, total: tongue_counts(_ids(b), b.column("tag").to_pylist(), langs, words, total), len(langs) * words)
-    tongue = tongues(told, langs)
+
+    def tell(b: pa.RecordBatch, total: np.ndarray) -> None:
+        tongue_counts(_ids(b), b.column("tag").to_pylist(), langs, words, total)
+
+    tongue = tongues(summed(docs.select("tag", "ids"), tell, len(langs) * words), langs)
     keys = sample.bigrams(tongue)
     shared = sc.broadcast((tongue, keys))
-    counts = summed(docs.select("ids"), lambda b, total: background_counts(_ids(b), *shared.value, total), 2 * tongue.size + len(keys))
+
+    def back(b: pa.RecordBatch, total: np.ndarray) -> None:
+        background_counts(_ids(b), *shared.value, total)
+
+    def spread(b: pa.RecordBatch, total: np.ndarray) -> None:
+        total += histogram(_gains(b))
+
+    counts = summed(docs.select("ids"), back, 2 * tongue.size + len(keys))
     model = fit(sample, subjects, tongue, keys, counts)
-    sent = sc.broadcast(model)
-    gains = summed(docs.select("ids"), lambda b, total: sent.value.gains(_ids(b), total), BINS)
-    model.bound = calibrated(fit(sample.part(False), subjects, tongue, keys, counts), sample.part(True), valley(gains))
-    return model
+    rows = scored(scratch, docs, model)
+    scratch.drop(docs)
+    model.bound = calibrated(fit(sample.part(False), subjects, tongue, keys, counts), sample.part(True), valley(summed(rows.select("gain"), spread, BINS)))
+    return model, rows
 
 
 def subject_areas(spark: SparkSession, documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """Train on the labelled documents and classify all; subjects are spelled as in ``subjects``."""
     spelled = {r[0]: r[1] for r in subjects.filter("subject is not null").groupBy(norm_id(F.col("subject")).alias("k")).agg(F.min("subject")).filter("k is not null").collect()}
     names = sorted(spelled)
-    sample = Sample.of(labelled(documents, labels), names)
-    docs = encoded(Scratch(spark, "subjects"), documents, sample.vocabulary)
-    model = trained(docs, sample, names)
+    sample, scratch = Sample.of(labelled(documents, labels), names), Scratch(spark, "subjects")
+    model, rows = trained(scratch, encoded(scratch, documents, sample.vocabulary), sample, names)
     model.subjects = [spelled[n] for n in names]
-    return classify(docs, model)
+    return classify(rows, model)
 
 
 def composition(areas: DataFrame, documents: DataFrame) -> DataFrame:

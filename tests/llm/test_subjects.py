@@ -31,7 +31,12 @@ def rows(n, seed):
 
 
 def classified(spark, df, m):
-    return subjects.classify(subjects.encoded(Scratch(spark, "test"), df, m.vocabulary), m).collect()
+    scratch = Scratch(spark, "test")
+    return subjects.classify(subjects.scored(scratch, subjects.encoded(scratch, df, m.vocabulary), m), m).collect()
+
+
+def shares(m, batch):
+    return m.shares(len(batch), *m.scored(batch))
 
 
 def test_corpus_statistics_cover_all_documents(spark):
@@ -41,10 +46,11 @@ def test_corpus_statistics_cover_all_documents(spark):
     local = subjects.train(data, names)
     sample = subjects.Sample.of(data, names)
     df = spark.createDataFrame([(i, t, g) for i, (t, g, _) in enumerate(data)], "doc_id bigint, text string, lang string").repartition(3)
-    m = subjects.trained(subjects.encoded(Scratch(spark, "test"), df, sample.vocabulary), sample, names)
+    scratch = Scratch(spark, "test")
+    m, _ = subjects.trained(scratch, subjects.encoded(scratch, df, sample.vocabulary), sample, names)
     assert m.bound == local.bound and np.allclose(m.uni, local.uni) and np.allclose(m.bi, local.bi) and np.allclose(m.tongue, local.tongue)
     more = df.unionByName(spark.createDataFrame([(900 + i, "die katze schläft. " * 30, "de") for i in range(9)], df.schema))
-    other = subjects.trained(subjects.encoded(Scratch(spark, "test"), more, sample.vocabulary), sample, names)
+    other, _ = subjects.trained(scratch, subjects.encoded(scratch, more, sample.vocabulary), sample, names)
     assert other.tongue.shape[0] == 2
 
 
@@ -52,10 +58,9 @@ def test_long_documents_in_pieces(monkeypatch):
     m = subjects.train(rows(200, 1), sorted(WORDS))
     r = random.Random(9)
     batch = [subjects.encode(text(r, ["law", "sport"], n), m.vocabulary) for n in (3, 400, 1, 50)] + [subjects.encode("", m.vocabulary)]
-    want = m.shares(batch)
+    want, n = shares(m, batch), len(m.scored(batch)[0])
     monkeypatch.setattr(subjects, "SLICE", 100)
-    got = m.shares(batch)
-    assert (got[1] == want[1]).all() and np.allclose(got[0], want[0])
+    assert np.allclose(shares(m, batch), want) and len(m.scored(batch)[0]) == n
 
 
 def test_sample_is_bounded_in_characters(spark):
@@ -69,7 +74,7 @@ def test_held_out_accuracy_with_wrong_labels():
     m = subjects.train(rows(200, 1), sorted(WORDS))
     r = random.Random(5)
     docs = [(s, text(r, [s, s, None])) for s in WORDS for _ in range(20)]
-    share, _ = m.shares([subjects.encode(t, m.vocabulary) for _, t in docs])
+    share = shares(m, [subjects.encode(t, m.vocabulary) for _, t in docs])
     assert sum(m.subjects[x.argmax()] == s for x, (s, _) in zip(share, docs, strict=True)) >= 0.97 * len(docs)
     assert (share[:, [m.subjects.index(s) for s in WORDS]] >= 0.2).sum() <= 1.05 * len(docs)
 
@@ -101,7 +106,7 @@ def test_held_out_labels_of_the_tables(spark):
     all_ = subjects.labelled(t("documents"), t("doc_labels"))
     cut = len(all_) * 3 // 4
     m = subjects.train(all_[:cut], names)
-    share, _ = m.shares([subjects.encode(x, m.vocabulary) for x, _, _ in all_[cut:]])
+    share = shares(m, [subjects.encode(x, m.vocabulary) for x, _, _ in all_[cut:]])
     pairs = [(i, names.index(s)) for i, (_, _, ls) in enumerate(all_[cut:]) for s in ls if s in names]
     assert sum(share[i, s] >= subjects.SHARE for i, s in pairs) >= 0.9 * len(pairs)  # about one label in twenty is wrong
 
