@@ -60,10 +60,10 @@ class ChatHistory:
 
 
 def history(mem: DataFrame) -> DataFrame:
-    """(agent_id, turn, role, text) of all sessions at once."""
+    """(agent_id, memory_id, turn, role, text) of all sessions at once."""
     rows = mem.filter("memory_type = 'conversation'")
     role = F.coalesce(F.try_variant_get(F.try_parse_json("metadata"), "$.role", "string"), F.lit("human"))
-    return rows.select("agent_id", F.row_number().over(Window.partitionBy("agent_id").orderBy("created_at", "first_seq")).alias("turn"), role.alias("role"), "text")
+    return rows.select("agent_id", "memory_id", F.row_number().over(Window.partitionBy("agent_id").orderBy("created_at", "first_seq")).alias("turn"), role.alias("role"), "text")
 
 
 class Documents:

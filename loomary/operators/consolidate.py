@@ -14,6 +14,14 @@ from .graph import minimum_labels, undirected
 from .records import pending
 
 
+# The texts that actions and records carry.
+CHAIN_TEXT = ("-version chain: ", " stale memories superseded by newest.")
+TIED_TEXT = "Tied created_at; manual review required."
+NEWER_TEXT = "Newer memory supersedes older conflicting fact."
+MERGED_TEXT = "Merged memory synthesised from conflicting sources."
+FLAG_TEXT = "Flagged for human review."
+
+
 def rule_planner(rows: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: confident pairs are merged, the rest is flagged."""
     return rows.withColumns({"action": F.when(F.col("confidence") >= 0.9, "merge").otherwise("flag"), "plan_confidence": F.col("confidence"), "reasoning": F.coalesce("description", F.lit(""))})
@@ -29,10 +37,16 @@ def model_planner(ask: Callable, prompt: Callable[[], Column]) -> Callable[[Data
     return run
 
 
-def best_record(conf: DataFrame, last: bool) -> DataFrame:
-    """The last (or first) record of each unordered pair, by detection and write order."""
-    order = [F.desc("detected_at"), F.desc("first_seq")] if last else [F.asc("detected_at"), F.asc("first_seq")]
-    return conf.withColumn("_n", F.row_number().over(Window.partitionBy("agent_id", "lo", "hi").orderBy(*order))).filter("_n = 1").drop("_n")
+def best_record(conf: DataFrame, which: str) -> DataFrame:
+    """One record of each unordered pair: the ``first`` or ``last`` detected (then written), or the ``surest`` (the first of equals).
+
+    Combined before the shuffle, so a pair reported any number of times costs no more than another.
+    """
+    seen = F.struct(F.col("detected_at").isNotNull(), "detected_at", "first_seq")
+    by = {"first": F.min_by, "last": F.max_by, "surest": F.min_by}[which]
+    order = F.struct(-F.coalesce("confidence", F.lit(-1.0)), seen) if which == "surest" else seen
+    rest = [c for c in conf.columns if c not in ("agent_id", "lo", "hi")]
+    return conf.groupBy("agent_id", "lo", "hi").agg(by(F.struct(*rest), order).alias("_r")).select("agent_id", "lo", "hi", "_r.*")
 
 
 def joined_pending(mem: DataFrame, conf: DataFrame) -> DataFrame:
@@ -69,18 +83,18 @@ def plan(spark: SparkSession, mem: DataFrame, conf: DataFrame, planner: Callable
     many = comp.filter("size >= 3").join(made, ["agent_id", "memory_id"])
     grouped = many.groupBy("agent_id", "component", "size").agg(F.max(F.struct("created_at", "memory_id"))["memory_id"].alias("keeper"), F.array_sort(F.collect_list("memory_id")).alias("ids"))
     stale = F.array_except("ids", F.array("keeper"))
-    text = F.concat(F.col("size").cast("string"), F.lit("-version chain: "), F.size(stale).cast("string"), F.lit(" stale memories superseded by newest."))
+    text = F.concat(F.col("size").cast("string"), F.lit(CHAIN_TEXT[0]), F.size(stale).cast("string"), F.lit(CHAIN_TEXT[1]))
     chain = grouped.select("agent_id", F.lit(0).alias("phase"), F.col("component").alias("key"), F.lit(None).cast("string").alias("conflict_id"), F.lit("chain_supersede").alias("action_type"), F.lit("auto_merge").alias("tier"), F.lit(1.0).alias("confidence"), F.concat(stale, F.array("keeper")).alias("source_memory_ids"), text.alias("reasoning"))
 
     pair_of = comp.filter("size = 2").select("agent_id", F.col("memory_id").alias("memory_a_id"))
-    solo = best_record(rows.filter("conflict_type = 'temporal_supersession'").join(pair_of, ["agent_id", "memory_a_id"], "left_semi"), last=False)
+    solo = best_record(rows.filter("conflict_type = 'temporal_supersession'").join(pair_of, ["agent_id", "memory_a_id"], "left_semi"), "first")
     tied = F.col("created_a").eqNullSafe(F.col("created_b"))
     old_a = F.col("created_a") < F.col("created_b")
     single = solo.select(
         "agent_id", F.lit(1).alias("phase"), F.format_string("%s %020d", F.date_format("detected_at", "yyyyMMddHHmmssSSSSSS"), "first_seq").alias("key"), "conflict_id", F.when(tied, "flag").otherwise("supersede").alias("action_type"),
         F.when(tied, "human_review").otherwise(tier(F.col("confidence"))).alias("tier"), "confidence",
         F.when(tied | old_a, F.array("memory_a_id", "memory_b_id")).otherwise(F.array("memory_b_id", "memory_a_id")).alias("source_memory_ids"),
-        F.when(tied, "Tied created_at; manual review required.").otherwise(F.coalesce("description", F.lit("Newer memory supersedes older conflicting fact."))).alias("reasoning"),
+        F.when(tied, TIED_TEXT).otherwise(F.coalesce("description", F.lit(NEWER_TEXT))).alias("reasoning"),
     )
     decided = planner(rows.filter(F.col("conflict_type").isin("direct_contradiction", "partial_conflict")))
     other = decided.select("agent_id", F.lit(2).alias("phase"), F.format_string("%s %020d", F.date_format("detected_at", "yyyyMMddHHmmssSSSSSS"), "first_seq").alias("key"), "conflict_id", F.col("action").alias("action_type"), tier(F.col("plan_confidence")).alias("tier"), F.col("plan_confidence").alias("confidence"), F.array("memory_a_id", "memory_b_id").alias("source_memory_ids"), "reasoning")
@@ -127,7 +141,7 @@ def effects(actions: DataFrame, mem: DataFrame, respect_tier: bool = False) -> t
     )
     merges = actions.filter("action_type = 'merge'").select("agent_id", merged_id.alias("memory_id"), "reasoning", "source_memory_ids", "action_id")
     imp = merges.select("agent_id", "action_id", F.explode("source_memory_ids").alias("memory_id")).join(base.select("agent_id", "memory_id", "importance"), ["agent_id", "memory_id"]).groupBy("agent_id", "action_id").agg(F.max("importance").alias("importance"))
-    new = merges.join(imp, ["agent_id", "action_id"]).select("agent_id", "memory_id", F.when(F.col("reasoning") != "", F.col("reasoning")).otherwise("Merged memory synthesised from conflicting sources.").alias("text"), F.lit("active").alias("status"), F.col("source_memory_ids").alias("supersedes"), "importance")
+    new = merges.join(imp, ["agent_id", "action_id"]).select("agent_id", "memory_id", F.when(F.col("reasoning") != "", F.col("reasoning")).otherwise(MERGED_TEXT).alias("text"), F.lit("active").alias("status"), F.col("source_memory_ids").alias("supersedes"), "importance")
     return changed, new
 
 
@@ -137,19 +151,24 @@ def resolved(actions: DataFrame, conf: DataFrame) -> DataFrame:
     A pairwise action resolves the last open record of its pair; a chain those of type temporal
     supersession with both ends in it; a flag only notes its reason.
     """
-    lookup = best_record(pending(conf), last=True)
+    lookup = best_record(pending(conf), "last")
     pair = actions.filter(F.col("action_type").isin("supersede", "merge", "flag")).select("agent_id", "action_type", "reasoning", F.array_min("source_memory_ids").alias("lo"), F.array_max("source_memory_ids").alias("hi"))
     p = lookup.join(pair, ["agent_id", "lo", "hi"])
     ends = actions.filter("action_type = 'chain_supersede'").select("agent_id", "action_id", F.explode("source_memory_ids").alias("id"))
     c = lookup.filter("conflict_type = 'temporal_supersession'").join(ends.select("agent_id", F.col("action_id").alias("x"), F.col("id").alias("lo")), ["agent_id", "lo"]).join(ends.select("agent_id", F.col("action_id").alias("y"), F.col("id").alias("hi")), ["agent_id", "hi"]).filter("x = y")
-    done = c.select("agent_id", "conflict_id", F.lit(True).alias("done"), F.lit(None).cast("string").alias("note")).unionByName(p.select("agent_id", "conflict_id", (F.col("action_type") != "flag").alias("done"), F.when(F.col("action_type") == "flag", F.coalesce("reasoning", F.lit("Flagged for human review."))).alias("note")))
+    done = c.select("agent_id", "conflict_id", F.lit(True).alias("done"), F.lit(None).cast("string").alias("note")).unionByName(p.select("agent_id", "conflict_id", (F.col("action_type") != "flag").alias("done"), F.when(F.col("action_type") == "flag", F.coalesce("reasoning", F.lit(FLAG_TEXT))).alias("note")))
     return done.groupBy("agent_id", "conflict_id").agg(F.when(F.bool_or("done"), "auto_resolved").otherwise("pending").alias("resolution_status"), F.max("note").alias("resolution_notes"))
 
 
 def executed(actions: DataFrame, at: Column, dry_run: bool = False) -> DataFrame:
-    """Actions stamped as executed, with their result; a dry run names the first source."""
+    """Actions stamped as executed, with their result; a dry run names the first source.
+
+    An action is executed once: one that has a time already raises an error when the rows are read.
+    """
     first = F.element_at("source_memory_ids", 1)
     result = F.when(F.col("action_type").isin("supersede", "chain_supersede"), F.element_at("source_memory_ids", -1)).when(F.col("action_type") == "merge", F.concat(F.lit("merged-"), F.substring("action_id", 1, 32))).otherwise(first)
+    if "executed_at" in actions.columns:
+        at = F.when(F.col("executed_at").isNull(), at).otherwise(F.raise_error(F.concat(F.lit("executed before: "), F.col("action_id"))).cast("timestamp"))
     return actions.withColumns({"result_memory_id": first if dry_run else result, "executed_at": at})
 
 

@@ -13,10 +13,11 @@ from .records import embedded, pending
 from .similarity import nearest
 
 
-def search_one(mem: DataFrame, agent_id: str, query: list[float], top_k: int = 10, score_threshold: float | None = None, filters: dict | None = None) -> DataFrame:
+def search_one(mem: DataFrame, agent_id: str, query: list[float], top_k: int = 10, score_threshold: float | None = None, filters: dict | None = None, metric: str = "cosine") -> DataFrame:
     """The best hits of one tenant for one vector, with contiguous ranks from 1.
 
-    Filters on metadata come before the cut to ``top_k``; the threshold is inclusive; ties go to the
+    ``metric`` is cosine, dot, euclid or manhattan; hits are ranked and cut by it, then the score is
+    clamped to [0, 1].  Filters on metadata come before the cut to ``top_k``; the threshold is inclusive; ties go to the
     earliest record.  ``top_k`` 0 gives nothing, a negative one is an error.
     """
     if top_k < 0:
@@ -24,14 +25,16 @@ def search_one(mem: DataFrame, agent_id: str, query: list[float], top_k: int = 1
     rows = mem.filter((F.col("agent_id") == agent_id) & F.col("embedding").isNotNull())
     if filters:
         rows = rows.filter(matches(F.col("metadata"), filters))
-    scored = rows.withColumn("score", vector.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
+    score, far = {"cosine": (vector.cosine, False), "dot": (vector.dot, False), "euclid": (vector.euclidean, True), "manhattan": (vector.manhattan, True)}[metric]
+    scored = rows.withColumn("score", score(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
     if score_threshold is not None:
-        scored = scored.filter(F.col("score") >= score_threshold)
-    top = scored.orderBy(F.desc("score"), "first_seq").limit(top_k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_seq")))
+        scored = scored.filter(F.col("score") <= score_threshold if far else F.col("score") >= score_threshold)
+    order = [F.asc("score") if far else F.desc("score"), F.asc("first_seq")]
+    top = scored.orderBy(*order).limit(top_k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("score", vector.clamp(F.col("score")))
 
 
-def search_many(mem: DataFrame, probes: DataFrame, top_k: int = 10, score_threshold: float | None = None, earlier: bool = False) -> DataFrame:
+def search_many(mem: DataFrame, probes: DataFrame, top_k: int = 10, score_threshold: float | None = None, earlier: bool = False, metric: str = "cosine") -> DataFrame:
     """(agent_id, probe, memory_id, score, rank) of many probes (agent_id, probe, embedding) at once.
 
     ``probe`` and ``first_seq`` are the numbers by which ties break; with ``earlier`` a probe finds
@@ -39,9 +42,9 @@ def search_many(mem: DataFrame, probes: DataFrame, top_k: int = 10, score_thresh
     """
     rows = embedded(mem).select(F.col("agent_id").alias("scope"), F.col("first_seq").alias("id"), F.col("embedding").alias("vec"))
     asked = embedded(probes).select(F.col("agent_id").alias("scope"), F.col("probe").alias("id"), F.col("embedding").alias("vec"))
-    found = nearest(asked, rows, top_k, score_threshold, earlier=earlier)
+    found = nearest(asked, rows, top_k, score_threshold, earlier=earlier, metric=metric)
     names = mem.select(F.col("agent_id").alias("scope"), F.col("first_seq").alias("id"), "memory_id")
-    return found.join(names, ["scope", "id"]).select(F.col("scope").alias("agent_id"), "probe", "memory_id", "score", "rank")
+    return found.join(names, ["scope", "id"]).select(F.col("scope").alias("agent_id"), "probe", "memory_id", vector.clamp(F.col("score")).alias("score"), "rank")
 
 
 def loser(a: str = "", b: str = "o_") -> Column:

@@ -49,12 +49,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for s, i, j, side, rid, v in zip(*[b.column(c).to_pylist() for c in ("scope", "i", "j", "side", "id", "vec")], strict=True):
             if (s, i, j) != now:
                 if now and ids[0] and ids[1]:
-                    yield now, ids[0], np.asarray(vecs[0]), ids[1], np.asarray(vecs[1])
+                    yield now, ids[0], _matrix(now[0], vecs[0]), ids[1], _matrix(now[0], vecs[1])
                 now, ids, vecs = (s, i, j), ([], []), ([], [])
             ids[side].append(rid)
             vecs[side].append(v)
     if now and ids[0] and ids[1]:
-        yield now, ids[0], np.asarray(vecs[0]), ids[1], np.asarray(vecs[1])
+        yield now, ids[0], _matrix(now[0], vecs[0]), ids[1], _matrix(now[0], vecs[1])
+
+
+def _matrix(scope: str, vecs: list) -> np.ndarray:
+    if len({len(v) for v in vecs}) > 1:
+        raise ValueError(f"vectors of different lengths in scope {scope}")
+    return np.asarray(vecs)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -100,8 +106,31 @@ def _hits(s: np.ndarray, ok: np.ndarray, k: int | None) -> tuple[np.ndarray, np.
     return i, j
 
 
-def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float | None = None, id_type: str = "bigint", earlier: bool = False) -> DataFrame:
-    """(scope, probe, id, score, rank): the k nearest rows of each probe's scope by clamped cosine.
+def _euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(y)))
+    for c in range(x.shape[1]):  # by column: exact, and no array of rows x rows x columns
+        out += (x[:, c, None] - y[None, :, c]) ** 2
+    return np.sqrt(out)
+
+
+def _manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(y)))
+    for c in range(x.shape[1]):
+        out += np.abs(x[:, c, None] - y[None, :, c])
+    return out
+
+
+#: Of each metric, the scores of two blocks, and whether the highest (1) or the lowest (-1) is nearest.
+METRICS = {
+    "cosine": (lambda x, y: np.clip(_unit(x) @ _unit(y).T, 0.0, 1.0), 1),
+    "dot": (lambda x, y: x @ y.T, 1),
+    "euclid": (_euclid, -1),
+    "manhattan": (_manhattan, -1),
+}
+
+
+def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float | None = None, id_type: str = "bigint", earlier: bool = False, metric: str = "cosine") -> DataFrame:
+    """(scope, probe, id, score, rank): the k nearest rows of each probe's scope, by clamped cosine or another metric.
 
     The threshold is inclusive; ties go to the smallest id; a probe finds itself if it is a row.
     ``k`` None gives every row that reaches the threshold, without a rank.  With ``earlier`` a probe
@@ -111,22 +140,25 @@ def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float
         raise ValueError("k or a threshold is needed")
     if k is not None and k < 0:
         raise ValueError("k must not be negative")
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
+    scores, sign = METRICS[metric]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (scope, _, _), a, x, b, y in _groups(batches):
             order = np.argsort(np.asarray(b, object), kind="stable")
             a, ids = np.asarray(a, object), np.asarray(b, object)[order]
-            s = np.clip(_unit(x) @ _unit(y[order]).T, 0.0, 1.0)
-            ok = s >= threshold if threshold is not None else np.ones(s.shape, bool)
+            s = sign * scores(x, y[order])
+            ok = s >= sign * threshold if threshold is not None else np.ones(s.shape, bool)
             if earlier:
                 ok &= np.asarray(ids.tolist()) <= np.asarray(a.tolist())[:, None]
             i, j = _hits(s, ok, k)
             for lo in range(0, len(i), OUT):
                 p, q = i[lo : lo + OUT], j[lo : lo + OUT]
-                yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(a[p].tolist()), pa.array(ids[q].tolist()), pa.array(s[p, q])], names=["scope", "probe", "id", "score"])
+                yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(a[p].tolist()), pa.array(ids[q].tolist()), pa.array(sign * s[p, q])], names=["scope", "probe", "id", "score"])
 
     found = blocks(probes, rows).mapInArrow(run, f"scope string, probe {id_type}, id {id_type}, score double")
     if k is None:
         return found
-    rank = F.row_number().over(Window.partitionBy("scope", "probe").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("scope", "probe").orderBy(F.desc("score") if sign > 0 else F.asc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .. import schema
+from .. import bridge, schema
+from ..evalsuite import runner
 from ..functions import scalars, vector
 from ..functions.text import norm_id
 from ..operators import consolidate, detect, evaluate, health, lineage, provenance, records, search
 from ..operators.similarity import nearest
 from ..session import hold
 from ..sources.tables import table
+from ..streaming import ingest
 
 AS_OF = "2026-07-01 00:00:00"
 #: Similarity of candidate pairs and of consolidation over the 8-number vectors of the test tables.
@@ -92,11 +93,11 @@ def knn_threshold(spark, root):
 
 
 def distances(spark, root):
-    v = _vectors(spark, root)
-    p = v.filter("id % 20 = 0").select(F.col("id").alias("probe"), F.col("vec").alias("p"), "scope")
-    j = p.join(v, "scope").filter("probe <> id")
-    best = j.select("probe", "id", vector.euclidean(F.col("p"), F.col("vec")).alias("e"), vector.manhattan(F.col("p"), F.col("vec")).alias("m"), vector.dot(F.col("p"), F.col("vec")).alias("d"))
-    return best.groupBy("probe").agg(_r(F.min("e")).alias("euclidean"), _r(F.min("m")).alias("manhattan"), _r(F.max("d")).alias("dot"))
+    """The nearest other vector by each of the other metrics."""
+    v = hold(_vectors(spark, root), "vectors")
+    best = lambda m, name: nearest(v.filter("id % 20 = 0"), v, 2, metric=m).filter("probe <> id").groupBy("probe").agg((F.max if m == "dot" else F.min)("score").alias(name))
+    j = best("euclid", "euclidean").join(best("manhattan", "manhattan"), "probe").join(best("dot", "dot"), "probe")
+    return j.select("probe", *[_r(c).alias(c) for c in ("euclidean", "manhattan", "dot")])
 
 
 def _probes(m: DataFrame) -> DataFrame:
@@ -264,7 +265,10 @@ def manifest(spark, root):
 
 
 def provenance_json(spark, root):
-    return provenance.export_json(_mem(spark, root))
+    """Fields read back from the JSON documents."""
+    v = scalars.json_value
+    d = provenance.export_json(_mem(spark, root))
+    return d.select("agent_id", "memory_id", *[v(F.col("document"), c).alias(c) for c in ("record_id", "source_type", "source_id", "raw_content", "text", "status")], v(F.col("document"), "chunk_index", "bigint").alias("chunk_index"), _r(v(F.col("document"), "importance", "double")).alias("importance"))
 
 
 def document_view(spark, root):
@@ -277,11 +281,11 @@ def contains_snippet(spark, root):
 
 
 def pair_records(spark, root):
-    c = records.pending(_conf(spark, root))
-    w = Window.partitionBy("agent_id", "lo", "hi")
-    top = c.withColumns({"nf": F.row_number().over(w.orderBy("detected_at", "first_seq")), "nl": F.row_number().over(w.orderBy(F.desc("detected_at"), F.desc("first_seq"))), "nc": F.row_number().over(w.orderBy(F.desc_nulls_last("confidence"), "detected_at", "first_seq"))})
-    pick = lambda n: F.max(F.when(F.col(n) == 1, F.col("conflict_id")))
-    return top.groupBy("agent_id", "lo", "hi").agg(pick("nf").alias("first_record"), pick("nl").alias("last_record"), pick("nc").alias("best_record"), F.count("*").alias("n"))
+    c = hold(records.pending(_conf(spark, root)), "pending")
+    key = ["agent_id", "lo", "hi"]
+    pick = lambda which, name: consolidate.best_record(c, which).select(*key, F.col("conflict_id").alias(name))
+    n = c.groupBy(*key).agg(F.count("*").alias("n"))
+    return pick("first", "first_record").join(pick("last", "last_record"), key).join(pick("surest", "best_record"), key).join(n, key)
 
 
 def invalid_memories(spark, root):
@@ -321,19 +325,17 @@ def invalid_cases(spark, root):
 
 
 def naive_view(spark, root):
-    m = _mem(spark, root, "text", "embedding")
+    m = runner.naive(_mem(spark, root))
     return m.groupBy("agent_id").agg(F.count("*").alias("n"), F.count_if(vector.usable(F.col("embedding"))).alias("n_searchable"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def access_stats(spark, root):
-    e = table(spark, root, "events")
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
+    return ingest.access_counts(table(spark, root, "events")).select("user_id", "n", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
 
 
 def chat_history(spark, root):
-    m = _mem(spark, root, "memory_type", "created_at", "first_seq").filter("memory_type = 'conversation'")
-    w = Window.partitionBy("agent_id").orderBy("created_at", "first_seq")
-    return m.select("agent_id", "memory_id", F.row_number().over(w).cast("bigint").alias("turn"))
+    h = bridge.history(_mem(spark, root, "memory_type", "created_at", "first_seq", "metadata", "text"))
+    return h.select("agent_id", "memory_id", F.col("turn").cast("bigint").alias("turn"))
 
 
 def importance_rank(spark, root):
@@ -473,6 +475,7 @@ k AS (SELECT *, list_min([i FOR x, i IN ahead IF list_contains(back, x)]) AS met
 c AS (SELECT agent_id, start, list_concat(list_reverse(back), [start], CASE WHEN met IS NULL THEN ahead ELSE ahead[1:met - 1] END) AS chain FROM k)
 SELECT agent_id, start AS memory_id, array_to_string(chain, '>') AS chain FROM c WHERE len(chain) > 1""",
     "manifest": f"WITH {_MEM} SELECT agent_id, memory_id, provenance.record_id AS record_id, provenance.source_type AS source_type, provenance.source_id AS source_id, provenance.ingested_by AS ingested_by, provenance.chunk_index::BIGINT AS chunk_index, epoch_us(provenance.ingested_at) AS ingested_us FROM mem WHERE provenance IS NOT NULL",
+    "provenance_json": f"WITH {_MEM} SELECT agent_id, memory_id, provenance.record_id AS record_id, provenance.source_type AS source_type, provenance.source_id AS source_id, provenance.raw_content AS raw_content, text, status, provenance.chunk_index::BIGINT AS chunk_index, round(importance, 8) AS importance FROM mem WHERE provenance IS NOT NULL",
     "document_view": f"WITH {_MEM} SELECT text AS page_content, metadata, memory_id AS _memory_id, agent_id FROM mem",
     "contains_snippet": f"WITH {_MEM} SELECT agent_id, min(first_seq) AS first_hit, count(*) AS n FROM mem WHERE contains(lower(text), 'phone line') GROUP BY ALL",
     "pair_records": f"WITH {_CONF} SELECT agent_id, lo, hi, arg_min(conflict_id, struct_pack(t := detected_at, s := first_seq)) AS first_record, arg_max(conflict_id, struct_pack(t := detected_at, s := first_seq)) AS last_record, arg_min(conflict_id, struct_pack(c := -coalesce(confidence, -1.0), t := detected_at, s := first_seq)) AS best_record, count(*) AS n FROM pend GROUP BY ALL",

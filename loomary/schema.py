@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.text import norm_id, strip
 
@@ -45,6 +46,10 @@ HEALTH_RISK, EVAL_RISK, SCENARIO_RISK = (0.80, 0.60, 0.40), (0.85, 0.70, 0.50),
 PASS_THRESHOLD = 0.7
 
 
+def fields(ddl: str, without: tuple[str, ...] = ()) -> T.StructType:
+    return T.StructType([f for f in T.StructType.fromDDL(ddl).fields if f.name not in without])
+
+
 def _blank(c: str) -> Column:
     return F.coalesce(strip(F.col(c)) == "", F.lit(True))
 
@@ -71,6 +76,52 @@ def memory_rules() -> dict[str, Column]:
     }
 
 
+def provenance_rules() -> dict[str, Column]:
+    """Rules of a memory's provenance; a memory without one breaks none."""
+    p = lambda c: F.col(f"provenance.{c}")
+    none = F.col("provenance").isNull()
+    given = lambda c: p(c).isNull() | (strip(p(c)) != "")
+    return {
+        "memory_id_not_blank": none | F.coalesce(strip(p("memory_id")) != "", F.lit(False)),
+        "source_id_not_blank": none | given("source_id"),
+        "ingested_by_not_blank": none | given("ingested_by"),
+        "chunk_not_negative": none | F.coalesce(p("chunk_index") >= 0, F.lit(True)),
+        "derived_from_not_blank": none | F.coalesce(F.forall(p("derived_from"), lambda x: F.coalesce(strip(x) != "", F.lit(False))), F.lit(True)),
+    }
+
+
+def health_rules() -> dict[str, Column]:
+    """Rules of a health report."""
+    unit = ("avg_importance", "contradiction_score", "freshness_score", "confidence_accuracy_gap", "provenance_completeness", "score")
+    return {f"{c}_in_range": _in(c, 0.0, 1.0) for c in unit} | {
+        "counts_not_negative": F.coalesce(F.least("total_memories", "stale_count", "conflict_count") >= 0, F.lit(False)),
+        "stale_within_total": F.coalesce(F.col("stale_count") <= F.col("total_memories"), F.lit(False)),
+        "age_not_negative": F.coalesce(F.col("oldest_age_days") >= 0, F.lit(True)),
+        "known_risk": F.coalesce(F.col("risk_level").isin("low", "medium", "high", "critical"), F.lit(False)),
+    }
+
+
+def plans(actions: DataFrame) -> DataFrame:
+    """(plan_id, n_actions, n_agents, n_executed, created_at, executed_at) of each plan, for ``plan_rules``."""
+    return actions.groupBy("plan_id").agg(F.count("*").alias("n_actions"), F.count_distinct("agent_id").alias("n_agents"), F.count("executed_at").alias("n_executed"), F.min("created_at").alias("created_at"), F.min("executed_at").alias("executed_at"))
+
+
+def plan_rules() -> dict[str, Column]:
+    return {
+        "has_actions": F.coalesce(F.col("n_actions") > 0, F.lit(False)),
+        "one_agent": F.coalesce(F.col("n_agents") == 1, F.lit(False)),
+        "executed_whole_or_not": F.col("n_executed").isin(0) | (F.col("n_executed") == F.col("n_actions")),
+        "executed_after_created": F.coalesce(F.col("executed_at") >= F.col("created_at"), F.lit(True)),
+    }
+
+
+def check_instants(df: DataFrame) -> None:
+    """Times must be instants; a column of local times is an error."""
+    local = [c for c, t in df.dtypes if t == "timestamp_ntz"]
+    if local:
+        raise ValueError(f"times without a zone: {', '.join(local)}")
+
+
 def conflict_rules() -> dict[str, Column]:
     pending = F.col("resolution_status").eqNullSafe("pending")
     return {

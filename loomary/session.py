@@ -8,9 +8,11 @@ Catalyst real sizes, so a small round is joined by broadcast and a large one by
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,20 +35,39 @@ def local_session(app: str = "loomary", cores: int | str = "*", partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The shared checkpoint folder; a temporary one only on a single machine whose session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomary-")
         atexit.register(shutil.rmtree, at[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes at its end all intermediate tables made within it; results must be written before.
+
+    For applications that live long: without a scope the tables stay until the application ends.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for s in _scopes.pop():
+            s.clear()
+
+
 class Scratch:
     """Intermediate tables of one operator call.
 
     ``save`` writes and reads back; ``drop`` removes a table that no later step reads.  What is
-    left when the application ends is removed then.
+    left at the end of a ``scratch_scope``, or of the application, is removed then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -58,6 +79,8 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
+        if _scopes:
+            _scopes[-1].append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._serial += 1
@@ -67,6 +90,9 @@ class Scratch:
         out._scratch_path = at
         return out
 
+    def clear(self) -> None:
+        self._fs.delete(self._path(self.root), True)
+
     def drop(self, df: DataFrame | None) -> None:
         if df is not None and (at := getattr(df, "_scratch_path", None)):
             self._fs.delete(self._path(at), True)

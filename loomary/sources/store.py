@@ -2,12 +2,17 @@
 
 Every write appends versions with rising numbers; a delete appends a tombstone.  The newest version
 of a key is its state, whatever order files are read in, so a repeated append does no harm.  Tenants
-are hashed to buckets, which are partition directories: a point lookup reads one of them.
-``compact`` rewrites the log to the newest versions.
+are hashed to buckets, which are partition directories below that of each write: a point lookup reads
+one bucket, and a write reads those of the tenants it writes.  Numbers are dealt in blocks, each claimed by creating a file
+that must not exist, so no two writers share one.  ``compact`` rewrites the log to the newest
+versions.
 """
 
 from __future__ import annotations
 
+import threading
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +24,13 @@ from ..functions.text import norm_id
 from ..operators import consolidate, detect, health, lineage, provenance, search
 from ..operators.records import pending
 from ..operators.versions import latest
-from ..session import Scratch, hold
+from ..session import Scratch
 
 BUCKETS = 64
+#: Write numbers of one block.
+NUMBERS = 1 << 20
+
+_claims = threading.Lock()
 
 
 class NotFound(KeyError):
@@ -47,14 +56,20 @@ class _Log:
         return F.pmod(F.xxhash64(agent), F.lit(BUCKETS)).cast("int")
 
     def rows(self) -> DataFrame:
-        full = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+        full = T.StructType([*self.schema.fields, T.StructField("write", T.LongType()), T.StructField("bucket", T.IntegerType())])
         try:
-            return self.spark.read.schema(full).parquet(self.path)
+            return self.spark.read.schema(full).parquet(self.path).drop("write")
         except AnalysisException:
-            return self.spark.createDataFrame([], full)
+            return self.spark.createDataFrame([], full).drop("write")
 
-    def state(self, agent_id: str | None = None, deleted: bool = False) -> DataFrame:
+    def touched(self, df: DataFrame) -> list[int]:
+        """The buckets of the tenants in ``df``: at most BUCKETS numbers."""
+        return sorted(r[0] for r in df.select(self.bucket(F.col("agent_id"))).distinct().collect() if r[0] is not None)
+
+    def state(self, agent_id: str | None = None, deleted: bool = False, buckets: list[int] | None = None) -> DataFrame:
         rows = self.rows()
+        if buckets is not None:
+            rows = rows.filter(F.col("bucket").isin(buckets)) if len(buckets) < BUCKETS else rows
         if agent_id is not None:
             rows = rows.filter((F.col("bucket") == self.bucket(F.lit(agent_id))) & (F.col("agent_id") == agent_id))
         keep = {f.name: F.col(f.name) for f in self.schema.fields if f.name not in ("agent_id", self.key, "version_seq")} | {"version_seq": F.col("version_seq")}
@@ -65,20 +80,58 @@ class _Log:
         return self.rows().agg(F.coalesce(F.max("version_seq"), F.lit(0))).first()[0]
 
     def append(self, df: DataFrame, op: str) -> None:
-        """Add versions of ``df``'s rows; a key's first number stays the one of its first version."""
-        base = self.last() + 1
-        known = self.state(deleted=True).select("agent_id", self.key, F.col("first_seq").alias("_first"))
-        rows = df.withColumn(self.key, norm_id(F.col(self.key))).withColumn("version_seq", F.lit(base) + F.monotonically_increasing_id())
+        """Add versions of ``df``'s rows; a key's first number stays the one of its first version.
+
+        The rows are written once before they are numbered, so each gets the next number of the
+        claimed blocks, in the order of the frame.
+        """
+        scratch = Scratch(self.spark, "append")
+        rows = scratch.save(df.withColumn(self.key, norm_id(F.col(self.key))).withColumn("_n", F.monotonically_increasing_id()), "rows")
+        part, place = F.shiftright("_n", 33).cast("int"), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect())  # one number per task
+        total = sum(n for _, n in sizes)
+        if not total:
+            return
+        start, offsets, upto = self._claim(total), [], 0
+        for p, n in sizes:
+            offsets.append((p, upto))
+            upto += n
+        numbers = F.broadcast(self.spark.createDataFrame(offsets, "_p int, _upto bigint"))
+        rows = rows.withColumns({"_p": part, "_place": place}).join(numbers, "_p").withColumn("version_seq", F.lit(start) + F.col("_upto") + F.col("_place")).drop("_p", "_place", "_upto", "_n")
+        known = self.state(deleted=True, buckets=self.touched(rows)).select("agent_id", self.key, F.col("first_seq").alias("_first"))
         rows = rows.drop("first_seq", "op").join(known, ["agent_id", self.key], "left")
         rows = rows.withColumns({"first_seq": F.coalesce("_first", "version_seq"), "op": F.lit(op), "bucket": self.bucket(F.col("agent_id"))})
         missing = {f.name: F.lit(None).cast(f.dataType) for f in self.schema.fields if f.name not in rows.columns}
         out = rows.withColumns(missing).select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], "bucket")
-        out.write.mode("append").partitionBy("bucket").parquet(self.path)
+        out.write.partitionBy("bucket").parquet(f"{self.path}/write={start}")  # a folder of its own: two jobs can't commit into one
+        scratch.clear()
+
+    def _claim(self, n: int) -> int:
+        """The first of ``n`` numbers that no other writer has: free blocks in a row, each a new file."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        at = path(f"{self.path}-numbers")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        need = -(-n // NUMBERS)
+        with _claims:  # writers of one process take turns; those of several meet at the files
+            fs.mkdirs(at)
+            taken = [int(f.getPath().getName()) for f in fs.listStatus(at)]
+            first = 1 + (max(taken) if taken else self.last() // NUMBERS)
+            got = first
+            while got < first + need:
+                try:
+                    fs.create(path(f"{self.path}-numbers/{got}"), False).close()
+                except Py4JJavaError as e:  # another writer was faster: start behind it
+                    if "AlreadyExists" not in e.java_exception.getClass().getName():
+                        raise
+                    first = got + 1
+                got += 1
+        return first * NUMBERS + 1
 
     def compact(self, to: str) -> None:
         """The newest versions alone, sorted for skipping, as a new log at ``to``."""
         now = self.state().withColumn("bucket", self.bucket(F.col("agent_id")))
-        now.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], "bucket").repartition("bucket").sortWithinPartitions("agent_id", "created_at" if "created_at" in now.columns else "detected_at").write.partitionBy("bucket").parquet(to)
+        now.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], "bucket").repartition("bucket").sortWithinPartitions("agent_id", "created_at" if "created_at" in now.columns else "detected_at").write.partitionBy("bucket").parquet(f"{to}/write=0")
 
 
 class MemoryStore:
@@ -98,6 +151,21 @@ class MemoryStore:
         self.health_config = health_config or health.HealthConfig(similarity=similarity)
         self.memories = _Log(spark, f"{path}/memories", schema.MEMORIES, "memory_id")
         self.conflicts = _Log(spark, f"{path}/conflicts", schema.CONFLICTS, "conflict_id")
+        self._scratch: list[Scratch] = []
+        if vector_size is not None:
+            self._same_size(path, vector_size)
+
+    def _same_size(self, path: str, size: int) -> None:
+        """A store is opened with the vector size it was made with."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/vector-size")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        made = [int(f.getPath().getName()) for f in fs.listStatus(at)]
+        if made and made != [size]:
+            raise ValueError(f"the store holds vectors of {made[0]} numbers, not {size}")
+        if not made:
+            fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/vector-size/{size}"))
 
     def __repr__(self) -> str:
         return f"MemoryStore({self.memories.path.rsplit('/', 1)[0]!r})"
@@ -109,7 +177,13 @@ class MemoryStore:
         self.close()
 
     def close(self) -> None:
-        """Nothing is held open; may be called again."""
+        """Remove the intermediate tables of this store's queries; may be called again."""
+        while self._scratch:
+            self._scratch.pop().clear()
+
+    def _hold(self, df: DataFrame, name: str) -> DataFrame:
+        self._scratch.append(Scratch(self.spark, name))
+        return self._scratch[-1].save(df, "rows")
 
     # -- writing
 
@@ -123,7 +197,8 @@ class MemoryStore:
         return df.withColumns({"memory_id": F.coalesce("memory_id", F.uuid()), "created_at": made, "updated_at": F.coalesce("updated_at", made)})
 
     def check(self, df: DataFrame) -> None:
-        rules = schema.memory_rules()
+        schema.check_instants(df)
+        rules = schema.memory_rules() | {f"provenance_{k}": v for k, v in schema.provenance_rules().items()}
         if self.vector_size is not None:
             rules["vector_size"] = F.coalesce(F.size("embedding") == self.vector_size, F.lit(True))
         broken = [r["rule"] for r in schema.violations(df, rules).collect() if r["n_rows"]]
@@ -149,11 +224,15 @@ class MemoryStore:
 
     def update(self, df: DataFrame) -> None:
         """Replace existing memories; any that isn't there is an error and nothing is written."""
-        if not df.join(self.mem().select("agent_id", "memory_id"), ["agent_id", "memory_id"], "left_anti").isEmpty():
-            raise NotFound("memory")
+        self._must_be_there(self.memories, df, "memory")
         self.check(df)
         self.memories.append(df, "update")
 
+    def _must_be_there(self, log: _Log, df: DataFrame, what: str) -> None:
+        known = log.state(buckets=log.touched(df)).select("agent_id", log.key)
+        if not df.select("agent_id", norm_id(F.col(log.key)).alias(log.key)).join(known, ["agent_id", log.key], "left_anti").isEmpty():
+            raise NotFound(what)
+
     def update_fields(self, agent_id: str, memory_id: str, **fields) -> None:
         """Change some fields of one memory and its ``updated_at``."""
         df = self.fetch(agent_id, memory_id)
@@ -196,8 +275,8 @@ class MemoryStore:
         return self.mem(agent_id).filter(F.col("memory_id") == memory_id.strip().lower())
 
     def fetch_batch(self, agent_id: str, ids: list[str]) -> DataFrame:
-        want = [i.strip().lower() for i in ids]
-        return self.mem(agent_id).filter(F.col("memory_id").isin(want)) if want else self.mem(agent_id).limit(0)
+        want = [(i.strip().lower(),) for i in ids]
+        return self.mem(agent_id).join(self.spark.createDataFrame(want, "memory_id string"), "memory_id", "left_semi").select(*self.mem(agent_id).columns)
 
     def exists(self, agent_id: str, memory_id: str) -> bool:
         return not self.fetch(agent_id, memory_id).isEmpty()
@@ -212,9 +291,9 @@ class MemoryStore:
         m = (m.filter(F.col("status") == status) if status else m).orderBy("created_at", "first_seq").offset(offset)
         return m if limit is None else m.limit(limit)
 
-    def search(self, agent_id: str, query: list[float], top_k: int = 10, score_threshold: float | None = None, filters: dict | None = None, strict_status: bool = False) -> DataFrame:
+    def search(self, agent_id: str, query: list[float], top_k: int = 10, score_threshold: float | None = None, filters: dict | None = None, strict_status: bool = False, metric: str = "cosine") -> DataFrame:
         """Nearest memories with conflict flags and recommendation."""
-        hits = search.search_one(self.mem(agent_id), agent_id, query, top_k, score_threshold, filters).select("agent_id", F.lit(0).cast("bigint").alias("probe"), "memory_id", "score", "rank")
+        hits = search.search_one(self.mem(agent_id), agent_id, query, top_k, score_threshold, filters, metric).select("agent_id", F.lit(0).cast("bigint").alias("probe"), "memory_id", "score", "rank")
         return search.enrich(hits, self.mem(agent_id), self.conf(agent_id), strict_status).orderBy("rank")
 
     def where(self, agent_id: str, filters: dict) -> DataFrame:
@@ -228,9 +307,7 @@ class MemoryStore:
     def store_conflict(self, row: dict) -> None:
         full = {f.name: row.get(f.name) for f in self.conflicts.schema.fields}
         df = self.spark.createDataFrame([full], self.conflicts.schema).withColumns({"resolution_status": F.coalesce("resolution_status", F.lit("pending")), "detected_at": F.coalesce("detected_at", F.current_timestamp()), "conflict_id": F.coalesce("conflict_id", F.uuid())})
-        broken = [r["rule"] for r in schema.violations(df, schema.conflict_rules()).collect() if r["n_rows"]]
-        if broken:
-            raise InvalidRecords(", ".join(broken))
+        self._valid_conflicts(df)
         self.conflicts.append(df, "insert")
 
     def fetch_conflict(self, agent_id: str, conflict_id: str) -> DataFrame:
@@ -244,10 +321,16 @@ class MemoryStore:
         return self.list_conflicts(agent_id, "pending")
 
     def update_conflict(self, df: DataFrame) -> None:
-        if not df.join(self.conflicts.state().select("agent_id", "conflict_id"), ["agent_id", "conflict_id"], "left_anti").isEmpty():
-            raise NotFound("conflict")
+        """Replace existing conflicts; one that isn't there, or breaks a rule, is an error and nothing is written."""
+        self._must_be_there(self.conflicts, df, "conflict")
+        self._valid_conflicts(df)
         self.conflicts.append(df, "update")
 
+    def _valid_conflicts(self, df: DataFrame) -> None:
+        broken = [r["rule"] for r in schema.violations(df, schema.conflict_rules()).collect() if r["n_rows"]]
+        if broken:
+            raise InvalidRecords(", ".join(broken))
+
     def resolve_conflict(self, agent_id: str, conflict_id: str, status: str, notes: str | None = None) -> None:
         """Close an open conflict; ``pending`` is no resolution."""
         if status == "pending" or status not in schema.RESOLUTIONS:
@@ -268,7 +351,7 @@ class MemoryStore:
 
     def _narrow(self, agent_id: str | None) -> DataFrame:
         """Memories without their long columns, written once for plans that read them several times."""
-        return hold(self.mem(agent_id).withColumn("has_provenance", F.col("provenance").isNotNull()).drop("metadata", "provenance"), "memories")
+        return self._hold(self.mem(agent_id).withColumn("has_provenance", F.col("provenance").isNotNull()).drop("metadata", "provenance"), "memories")
 
     def scan_contradictions(self, agent_id: str | None = None) -> DataFrame:
         """Detect, store and return the conflicts not known yet."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import norm_id
 from ..operators import detect
 from ..sources.store import MemoryStore
 
@@ -18,24 +19,30 @@ def once(stream: DataFrame, key: list[str], at: str, late: str = "1 hour") -> Da
 def ingest(stream: DataFrame, store: MemoryStore, checkpoint: str, classify: detect.Classifier = detect.rule_classifier, once_only: bool = True) -> StreamingQuery:
     """Append each micro-batch, then detect conflicts of its memories with all earlier ones.
 
-    A batch that is replayed after a failure finds its versions stored and adds nothing: rows whose
-    (agent_id, memory_id, updated_at, text) is already the stored state are left out.
+    A batch that is replayed after a failure stores only what is missing: rows whose (agent_id,
+    memory_id, updated_at, text) is already the stored state aren't written again.  Conflicts are
+    detected of all memories of the batch, written before or not, and go in by their key unless they
+    are known, whatever became of them; so a break between the two writes loses none.  Only the
+    buckets of the batch's tenants are read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         same = ["agent_id", "memory_id", "updated_at", "text"]
-        fresh = batch.join(store.mem().select(*same), same, "left_anti").persist()
+        batch = batch.persist()
         try:
-            if fresh.isEmpty():
+            if batch.isEmpty():
                 return
-            before = store.memories.last()
-            store.store_batch(fresh)
-            mem = store.mem()
-            found = detect.on_store(mem.filter(F.col("version_seq") > before), mem, classify, store.similarity)
-            known = store.open_conflicts().select("agent_id", "conflict_id")
+            at = store.memories.touched(batch)
+            fresh = batch.join(store.memories.state(buckets=at).select(*same), same, "left_anti")
+            if not fresh.isEmpty():
+                store.store_batch(fresh)
+            mem = store.memories.state(buckets=at)
+            named = batch.select("agent_id", norm_id(F.col("memory_id")).alias("memory_id")).distinct()
+            found = detect.on_store(mem.join(named, ["agent_id", "memory_id"], "left_semi"), mem, classify, store.similarity)
+            known = store.conflicts.state(buckets=at, deleted=True).select("agent_id", "conflict_id")
             store._keep_conflicts(found.join(known, ["agent_id", "conflict_id"], "left_anti"))
         finally:
-            fresh.unpersist()
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once_only else w).start()

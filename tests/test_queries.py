@@ -1,9 +1,9 @@
 import pytest
 from oracle import connect, rows_of, rows_of_sql
 
-from loomary.plans import integrity, reference
+from loomary.plans import coverage, integrity, reference
 
-ALL = {k: (f, m.ORACLE.get(k)) for m in (reference, integrity) for k, f in m.QUERIES.items()}
+ALL = {k: (f, m.ORACLE.get(k)) for m in (reference, coverage, integrity) for k, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", list(ALL))

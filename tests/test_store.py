@@ -3,8 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from loomary import bridge, cli
+from loomary import bridge, cli, schema
 from loomary.operators import detect
+from loomary.sources.protocol import Storage
 from loomary.sources.store import InvalidRecords, MemoryStore, NotFound
 
 T = dt.datetime(2026, 1, 1)
@@ -17,7 +18,7 @@ def store(spark, tmp_path):
 
 
 def row(mid, agent="a1", n=0, **kw):
-    return {"agent_id": agent, "memory_id": mid, "text": "hello world", "embedding": [1.0, 0.0], "created_at": T + dt.timedelta(seconds=n)} | kw
+    return {"agent_id": agent, "memory_id": mid, "text": "the kettle is blue", "embedding": [1.0, 0.0], "created_at": T + dt.timedelta(seconds=n)} | kw
 
 
 def ids(df):
@@ -36,7 +37,7 @@ def test_contract(store):
     store.store_batch(store.frame([row("m1", n=1, text="changed", importance=0.87)]))
     again = store.fetch("a1", "m1").first()
     assert again["text"] == "changed" and again["importance"] == 0.87 and again["first_seq"] == first["first_seq"] and store.count("a1") == 3
-    assert store.fetch("a2", "m1").first()["text"] == "hello world"
+    assert store.fetch("a2", "m1").first()["text"] == "the kettle is blue"
     assert store.delete("a1", "m2") and not store.delete("a1", "m2") and not store.delete("a2", "m3")
     assert store.delete_batch("a1", ["m1", "m3", "zz"]) == 2 and store.count("a1") == 0 and store.count("a2") == 1
 
@@ -192,3 +193,92 @@ def test_stream_counts(spark, data, tmp_path):
 def test_rule_classifier_has_all_verdicts(spark):
     rows = spark.range(8).selectExpr("100 as seq_a", "id * 100 as seq_b")
     assert {r["verdict"] for r in detect.rule_classifier(rows).collect()} == {"direct_contradiction", "temporal_supersession", "partial_conflict", "unrelated"}
+
+
+def test_writers_never_share_a_number_and_read_only_their_buckets(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = MemoryStore(spark, f"{tmp_path}/n")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: store.store_batch(store.frame([row(f"m{i}-{k}", agent=f"t{i}") for k in range(5)])), range(6)))
+    seqs = [r[0] for r in store.mem().select("version_seq").collect()]
+    assert len(seqs) == 30 == len(set(seqs))
+    frame = store.frame([row("m0-0", agent="t0")])
+    at = store.memories.touched(frame)
+    plan = store.memories.state(buckets=at)._jdf.queryExecution().executedPlan().toString()
+    assert len(at) == 1 and "PartitionFilters: [isnotnull(bucket" in plan and "(bucket" in plan
+    first = {r["memory_id"]: r["first_seq"] for r in store.mem("t0").collect()}
+    store.update(frame)
+    again = store.fetch("t0", "m0-0").first()
+    assert again["first_seq"] == first["m0-0"] < again["version_seq"]
+    order = [r["memory_id"] for r in store.mem("t1").orderBy("first_seq").collect()]
+    assert order == [f"m1-{k}" for k in range(5)]
+
+
+def test_a_store_keeps_its_vector_size_and_its_conflict_rules(spark, tmp_path):
+    path = f"{tmp_path}/v"
+    MemoryStore(spark, path, vector_size=2)
+    MemoryStore(spark, path, vector_size=2)
+    with pytest.raises(ValueError):
+        MemoryStore(spark, path, vector_size=3)
+    store = MemoryStore(spark, path)
+    store.store_conflict({"agent_id": "a1", "conflict_id": "c1", "memory_a_id": "x", "memory_b_id": "y", "conflict_type": "partial_conflict", "confidence": 0.9, "description": "d"})
+    with pytest.raises(InvalidRecords):
+        store.update_conflict(store.fetch_conflict("a1", "c1").withColumn("confidence", F.lit(2.0)))
+    with pytest.raises(ValueError):
+        schema.check_instants(spark.sql("select timestamp_ntz'2024-01-01' as t"))
+    assert isinstance(store, Storage)
+
+
+def test_metrics(spark, tmp_path):
+    store = MemoryStore(spark, f"{tmp_path}/m")
+    store.store_batch(store.frame([row("near", embedding=[1.0, 0.1]), row("far", embedding=[5.0, 0.0]), row("side", embedding=[0.0, 0.5])]))
+    best = lambda m: store.search("a1", [1.0, 0.0], 1, metric=m).first()["memory_id"]
+    assert [best(m) for m in ("cosine", "dot", "euclid", "manhattan")] == ["far", "far", "near", "near"]
+    assert [r["memory_id"] for r in store.search("a1", [1.0, 0.0], 5, 0.2, metric="euclid").collect()] == ["near"]
+
+
+def test_actions_are_executed_once(spark, tmp_path):
+    from loomary.operators import consolidate
+
+    a = spark.createDataFrame([("a", "x", "flag", ["m"], None, None)], "agent_id string, action_id string, action_type string, source_memory_ids array<string>, result_memory_id string, executed_at timestamp")
+    done = consolidate.executed(a, F.lit("2026-01-01").cast("timestamp"))
+    assert done.first()["result_memory_id"] == "m"
+    with pytest.raises(Exception, match="executed before"):
+        consolidate.executed(done, F.current_timestamp()).collect()
+
+
+def test_a_break_between_the_writes_of_a_batch_loses_no_conflict(spark, tmp_path):
+    from loomary.streaming import ingest
+
+    broken = {"yes": True}
+
+    def classify(pairs):
+        if broken.pop("yes", False):
+            raise RuntimeError("broke off")
+        return pairs.withColumns({"verdict": F.lit("direct_contradiction"), "confidence": F.lit(0.9), "summary": F.lit("s")})
+
+    store = MemoryStore(spark, f"{tmp_path}/store")
+    rows = store.frame([row(i, embedding=[1.0, k / 100]) for k, i in enumerate("abc")])
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = lambda: ingest.ingest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/checkpoint", classify)
+    with pytest.raises(Exception, match="broke off"):
+        stream().awaitTermination()
+    assert store.mem().count() == 3 and store.conf().count() == 0
+    stream().awaitTermination()
+    assert store.mem().count() == 3 and store.conf().count() == 3
+    one = store.conf().first()
+    store.resolve_conflict("a1", one["conflict_id"], "human_reviewed")
+    again = ingest.ingest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/other", classify)
+    again.awaitTermination()
+    assert store.conf().count() == 3 and store.open_conflicts().count() == 2
+
+
+def test_scratch_scope_removes_its_tables(spark):
+    from loomary.session import Scratch, scratch_scope
+
+    with scratch_scope():
+        s = Scratch(spark, "scope")
+        s.save(spark.range(3), "t")
+        assert s._fs.exists(s._path(s.root))
+    assert not s._fs.exists(s._path(s.root))
