@@ -22,6 +22,10 @@ MERGED_TEXT = "Merged memory synthesised from conflicting sources."
 FLAG_TEXT = "Flagged for human review."
 
 
+#: Links that one task labels; more are labelled by distributed rounds, to the same result.
+FEW_LINKS = 200_000
+
+
 def rule_planner(rows: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: confident pairs are merged, the rest is flagged."""
     return rows.withColumns({"action": F.when(F.col("confidence") >= 0.9, "merge").otherwise("flag"), "plan_confidence": F.col("confidence"), "reasoning": F.coalesce("description", F.lit(""))})
@@ -65,7 +69,7 @@ def chains(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(agent_id, memory_id, component, size) of memories linked by open temporal conflicts."""
     scratch = Scratch(spark, "chains")
     links = rows.filter("conflict_type = 'temporal_supersession'").select("agent_id", F.col("memory_a_id").alias("a"), F.col("memory_b_id").alias("b"))
-    labels = minimum_labels(scratch, scratch.save(undirected(links), "links"))
+    labels = minimum_labels(scratch, scratch.save(undirected(links), "links"), finish=FEW_LINKS)
     sizes = labels.groupBy("agent_id", "label").agg(F.count("*").alias("size"))
     return labels.join(sizes, ["agent_id", "label"]).select("agent_id", F.col("node").alias("memory_id"), F.col("label").alias("component"), "size")
 
