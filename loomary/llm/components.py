@@ -37,16 +37,19 @@ def _peel(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFrame |
     agent, seed = top[0]["agent_id"], top[0]["u"]
     arcs = both_ways(edges.filter(F.col("agent_id") == agent)).select("u", "v")
     reached = [scratch.save(edges.sparkSession.createDataFrame([(seed,)], "node string"), "frontier")]
+    whole = False
     for _ in range(rounds):
         seen = reduce(DataFrame.unionByName, reached)
         ahead = arcs.join(reached[-1].withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
         ahead = scratch.save(ahead, "frontier")
-        if not any_rows(ahead):
+        if whole := not any_rows(ahead):
             break
         reached.append(ahead)
     seen = reduce(DataFrame.unionByName, reached)
     low = seen.agg(F.min("node")).first()[0]
     giant = seen.select(F.lit(agent).alias("agent_id"), "node", F.lit(low).alias("group_id"))
+    if whole:  # no edge leads out of it
+        return giant, scratch.save(edges.join(giant.select("agent_id", F.col("node").alias("u")), ["agent_id", "u"], "left_anti").select("agent_id", "u", "v"), "edges")
     marks = giant.select("agent_id", F.col("node").alias("u"), F.col("group_id").alias("gu"))
     left = edges.join(marks, ["agent_id", "u"], "left").join(marks.select("agent_id", F.col("u").alias("v"), F.col("gu").alias("gv")), ["agent_id", "v"], "left")
     left = left.select("agent_id", F.coalesce("gu", "u").alias("u"), F.coalesce("gv", "v").alias("v")).filter("u <> v")

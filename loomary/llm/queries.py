@@ -170,6 +170,15 @@ ORACLE = {
     "p7_found": f"{_RUNS} SELECT doc_id, item_id FROM hits",
     "p7_overlap": f"{_RUNS} SELECT doc_id, item_id, n_runs, n_runs / total::DOUBLE AS share FROM hits JOIN n ON n.id = item_id",
     "p4_found": f"{_NEAR} SELECT c.agent_id, a AS memory_a_id, b AS memory_b_id FROM c JOIN n x ON x.agent_id = c.agent_id AND x.mid = a JOIN n y ON y.agent_id = c.agent_id AND y.mid = b WHERE common * 2 >= x.n + y.n - common",
+    "p4_groups": f"""{_NEAR.replace('WITH ', 'WITH RECURSIVE ', 1)},
+sets AS (SELECT agent_id, mid, string_agg(s, '|' ORDER BY s) AS whole FROM sh GROUP BY agent_id, mid),
+cl AS (SELECT agent_id, mid, min(mid) OVER (PARTITION BY agent_id, whole) AS class_id FROM sets),
+near AS (SELECT c.agent_id, p.class_id AS a, q.class_id AS b FROM c JOIN n x ON x.agent_id = c.agent_id AND x.mid = a JOIN n y ON y.agent_id = c.agent_id AND y.mid = b JOIN cl p ON p.agent_id = c.agent_id AND p.mid = a JOIN cl q ON q.agent_id = c.agent_id AND q.mid = b WHERE common * 2 >= x.n + y.n - common AND p.class_id <> q.class_id),
+arcs AS (SELECT agent_id, a AS u, b AS v FROM near UNION SELECT agent_id, b, a FROM near),
+reach AS (SELECT agent_id, class_id AS u, class_id AS v FROM cl UNION SELECT r.agent_id, r.u, s.v FROM reach r JOIN arcs s ON s.agent_id = r.agent_id AND s.u = r.v),
+grp AS (SELECT agent_id, u AS class_id, min(v) AS group_id FROM reach GROUP BY agent_id, u),
+deg AS (SELECT agent_id, u AS class_id, count(*) AS n_links FROM arcs GROUP BY agent_id, u)
+SELECT cl.agent_id, cl.mid AS memory_id, cl.class_id, coalesce(n_links, 0) AS n_links, group_id FROM cl JOIN grp USING (agent_id, class_id) LEFT JOIN deg USING (agent_id, class_id)""",
     "p1_found": f"{_SURVIVORS} SELECT table_name, agent_id, group_id, field, from_id FROM rows_ WHERE n = 1",
     "p1_survivors": f"{_SURVIVORS} SELECT table_name, agent_id, group_id, field, value, from_id FROM rows_ WHERE n = 1",
     "p6_found": f"{_GROUPS} SELECT agent_id, memory_id, group_id FROM groups",

@@ -46,3 +46,12 @@ def test_nulls_loops_empty(spark):
     rows = [("x", None, "b", 1), (None, "a", "b", 1), ("x", "a", "a", 1)]
     assert solve(spark, rows) == {}
     assert solve(spark, []) == {}
+
+
+def test_hubs_and_complete_giants(spark, monkeypatch):
+    from loomary.operators import graph
+
+    monkeypatch.setattr(graph, "PLAIN", 0)  # minima are written before they are joined
+    star = [("x", "hub", f"s{i:03}", 1) for i in range(80)] + [("x", f"p{i}", f"p{i + 1}", 1) for i in range(9)] + [("y", "hub", "s001", 1), ("x", "q", "r", 1)]
+    assert solve(spark, star) == brute(star)
+    assert solve(spark, star, peel_rounds=0) == brute(star)
