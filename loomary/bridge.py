@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .operators import provenance
+from .operators.sequence import numbered
 from .sources.store import MemoryStore
 
 ROLES = {"human": "human", "user": "human", "ai": "ai", "assistant": "ai", "system": "system", "tool": "tool"}
@@ -63,7 +63,7 @@ def history(mem: DataFrame) -> DataFrame:
     """(agent_id, memory_id, turn, role, text) of all sessions at once."""
     rows = mem.filter("memory_type = 'conversation'")
     role = F.coalesce(F.try_variant_get(F.try_parse_json("metadata"), "$.role", "string"), F.lit("human"))
-    return rows.select("agent_id", "memory_id", F.row_number().over(Window.partitionBy("agent_id").orderBy("created_at", "first_seq")).alias("turn"), role.alias("role"), "text")
+    return numbered(rows.select("agent_id", "memory_id", role.alias("role"), "text", "created_at", "first_seq"), ["agent_id"], ["created_at", "first_seq"], "turn").drop("created_at", "first_seq")
 
 
 class Documents:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import re
 from pathlib import Path
@@ -32,6 +33,14 @@ def keep_result(path: str, name: str, entry: dict) -> None:
     p.write_text(json.dumps([*(e for e in had if e["system"] != name), entry | {"system": name}], indent=1))
 
 
+def newest_result(folder: str, suffix: str = ".json") -> list[dict]:
+    """The result file of the latest name in a folder."""
+    files = sorted(Path(folder).glob(f"*{suffix}"))
+    if not files:
+        raise FileNotFoundError(f"no result file in {folder}")
+    return json.loads(files[-1].read_text())
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="loomary")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -40,6 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--config", help="may name categories and the pass threshold")
     r.add_argument("--system", choices=("spark", "naive"), default="spark")
     r.add_argument("--json", help="result file")
+    r.add_argument("--document", help="file for the whole run, case by case")
     s = sub.add_parser("show-config")
     s.add_argument("config")
     a = parser.parse_args(argv)
@@ -60,6 +70,8 @@ def main(argv: list[str] | None = None) -> int:
     print(runner.report(results))
     if a.json:
         keep_result(a.json, a.system, evaluate.overall(results).first().asDict() | {"categories": [x.asDict() for x in evaluate.category_scores(results).collect()]})
+    if a.document:
+        Path(a.document).write_text(json.dumps(runner.document(results, a.system, dt.datetime.now(dt.UTC).isoformat()), indent=1))
     return 1 if evaluate.failures(results).count() else 0
 
 

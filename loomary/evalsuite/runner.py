@@ -33,7 +33,7 @@ def fixtures(spark: SparkSession, chosen: list[cases.Case]) -> DataFrame:
 
 
 def naive(mem: DataFrame) -> DataFrame:
-    """What a bare vector store keeps: id, tenant, text and vector; all else is default."""
+    """What a bare vector store keeps: id, tenant, text and vector; all else is default, and listings know no status."""
     kinds = dict(mem.dtypes)
     keep = ("agent_id", "memory_id", "text", "embedding", "first_seq")
     none = F.lit(None)
@@ -66,7 +66,7 @@ def run(spark: SparkSession, categories: set[str] | None = None, view: Callable[
         by_agent.setdefault(r["agent_id"], {})[r["memory_id"]] = r.asDict(recursive=True)
     out = []
     for n, c in enumerate(chosen):
-        seen = cases.Seen(by_agent.get(c.agent_id, {}), {q: found.get((c.agent_id, i), []) for i, q in enumerate(cases.queries(c))})
+        seen = cases.Seen(by_agent.get(c.agent_id, {}), {q: found.get((c.agent_id, i), []) for i, q in enumerate(cases.queries(c))}, by_status=view is not naive)
         try:
             s, error = cases.score(c, seen), None
         except Exception as e:  # a broken case is a failed one, not a failed run
@@ -77,6 +77,20 @@ def run(spark: SparkSession, categories: set[str] | None = None, view: Callable[
     return spark.createDataFrame(out, schema.CASE_RESULTS)
 
 
+def document(results: DataFrame, system: str, run_at: str) -> dict:
+    """The run as a JSON document: scores, and every case below its category."""
+    o = evaluate.overall(results).first()
+    rows: dict[str, list[dict]] = {}
+    for r in results.orderBy("category", "case_name").collect():
+        rows.setdefault(r["category"], []).append({k: r[k] for k in ("case_name", "score", "passed", "pass_threshold", "error")})
+    by = {r["category"]: r for r in evaluate.category_scores(results).collect()}
+    order = sorted(by, key=lambda c: (cases.CATEGORIES.index(c) if c in cases.CATEGORIES else 99, c))
+    return {
+        "schema_version": "1", "run_at": run_at, "backend_name": system, "overall_score": o["overall"], "hallucination_risk": o["risk"],
+        "categories": [{"category": c, "score": by[c]["score"], "pass_rate": by[c]["pass_rate"], "results": rows[c]} for c in order],
+    }
+
+
 def report(results: DataFrame) -> str:
     """The run as plain text."""
     o = evaluate.overall(results).first()

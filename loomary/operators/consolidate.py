@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import parse_action, row_key, tier
 from ..session import Scratch, hold
 from .graph import minimum_labels, undirected
 from .records import pending
+from .sequence import numbered
 
 
 # The texts that actions and records carry.
@@ -102,9 +102,8 @@ def plan(spark: SparkSession, mem: DataFrame, conf: DataFrame, planner: Callable
     )
     decided = planner(rows.filter(F.col("conflict_type").isin("direct_contradiction", "partial_conflict")))
     other = decided.select("agent_id", F.lit(2).alias("phase"), F.format_string("%s %020d", F.date_format("detected_at", "yyyyMMddHHmmssSSSSSS"), "first_seq").alias("key"), "conflict_id", F.col("action").alias("action_type"), tier(F.col("plan_confidence")).alias("tier"), F.col("plan_confidence").alias("confidence"), F.array("memory_a_id", "memory_b_id").alias("source_memory_ids"), "reasoning")
-    acts = chain.unionByName(single).unionByName(other)
-    seq = F.row_number().over(Window.partitionBy("agent_id").orderBy("phase", "key", "conflict_id"))
-    acts = acts.withColumn("action_seq", seq.cast("bigint")).withColumn("action_id", row_key(F.col("agent_id"), F.col("phase").cast("string"), F.col("key"), F.coalesce("conflict_id", F.lit("")))).drop("phase", "key")
+    acts = numbered(hold(chain.unionByName(single).unionByName(other), "unordered"), ["agent_id"], ["phase", "key", "conflict_id"], "action_seq")
+    acts = acts.withColumn("action_id", row_key(F.col("agent_id"), F.col("phase").cast("string"), F.col("key"), F.coalesce("conflict_id", F.lit("")))).drop("phase", "key")
     return hold(acts, "actions")
 
 
