@@ -165,7 +165,7 @@ def resolve(spark: SparkSession, links: DataFrame, paths: bool = False, chunk_li
     null.  No links give no rows.  ``seen`` receives the number of links that each merge took on.
     """
     scratch = Scratch(spark, "hierarchy")
-    at = F.col("at").cast("bigint") if "at" in links.columns else F.lit(None).cast("bigint")
+    at = F.col("at").try_cast("bigint") if "at" in links.columns else F.lit(None).cast("bigint")
     links = links.filter("agent_id is not null and child is not null and parent is not null")
     seg = F.array("child") if paths else F.lit(None).cast("array<string>")
     first = links.select("agent_id", "child", "parent", F.lit(1).cast("bigint").alias("steps"), F.col("child").alias("low"), F.lit(False).alias("closed"), seg.alias("seg"), at.alias("at"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions import vector
-from ..functions.scalars import matches
+from ..functions.scalars import contains, matches
 from .records import embedded, pending
 from .similarity import nearest
 
@@ -89,6 +89,12 @@ def enrich(hits: DataFrame, mem: DataFrame, conf: DataFrame, strict_status: bool
     )
 
 
+def first_with(hits: DataFrame, mem: DataFrame, snippet: str) -> DataFrame:
+    """(agent_id, probe, memory_id, rank): of each search the best hit whose text holds ``snippet``, without case."""
+    holds = mem.filter(contains(F.col("text"), F.lit(snippet))).select("agent_id", "memory_id")
+    return hits.join(holds, ["agent_id", "memory_id"], "left_semi").groupBy("agent_id", "probe").agg(F.min_by("memory_id", "rank").alias("memory_id"), F.min("rank").alias("rank"))
+
+
 def by_importance(hits: DataFrame, mem: DataFrame, as_of: Column, weight: float = 0.2) -> DataFrame:
     """Hits ranked again by cosine and, at ``weight``, importance, use and recency; not the default order."""
     facts = mem.select("agent_id", "memory_id", "importance", "access_count", "last_accessed", "first_seq")

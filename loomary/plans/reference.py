@@ -19,8 +19,9 @@ from ..sources.tables import table
 from ..streaming import ingest
 
 AS_OF = "2026-07-01 00:00:00"
-#: Similarity of candidate pairs and of consolidation over the 8-number vectors of the test tables.
-SIMILAR = 0.95
+#: The engine's similarity of candidate pairs, and its health measured on all probes instead of a sample.
+SIMILAR = schema.CLUSTER_SIMILARITY
+WHOLE = health.HealthConfig(probes=None)
 
 
 def _now():
@@ -137,13 +138,14 @@ def contradiction_score(spark, root):
 
 
 def confidence_gap(spark, root):
-    g = health.confidence_gap(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now())
+    """Every usable memory with a vector is a probe."""
+    g = health.confidence_gap(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now(), WHOLE)
     return g.select("agent_id", _r("confidence_accuracy_gap").alias("confidence_accuracy_gap"), "n_probed")
 
 
 def health_scores(spark, root):
     m = _held(spark, root, "status", "expires_at", "embedding", "first_seq", "updated_at", "importance", "has_provenance")
-    h = health.health(m, _conf(spark, root), _now(), health.HealthConfig(similarity=SIMILAR))
+    h = health.health(m, _conf(spark, root), _now(), WHOLE)
     return h.select("agent_id", "total_memories", "stale_count", "conflict_count", *[_r(c).alias(c) for c in ("freshness_score", "contradiction_score", "confidence_accuracy_gap", "score")], "risk_level")
 
 
@@ -154,45 +156,9 @@ def new_conflicts(spark, root):
 
 
 def store_conflicts(spark, root):
+    """Every memory as the new one, at the time of its writing."""
     m = _held(spark, root, "embedding", "first_seq")
-    new = m.filter(F.pmod(F.floor(F.col("first_seq") / 100), F.lit(20)) == 0)
-    s = detect.on_store(new, m, similarity=SIMILAR)
-    return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
-
-
-def store_conflicts_all(spark, root):
-    """Every memory as the new one, at the engine's similarity."""
-    m = _held(spark, root, "embedding", "first_seq")
-    s = detect.on_store(m, m, similarity=schema.CLUSTER_SIMILARITY)
-    return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
-
-
-def confidence_gap_all(spark, root):
-    """Every usable memory with a vector is a probe."""
-    g = health.confidence_gap(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now(), health.HealthConfig(probes=None))
-    return g.select("agent_id", _r("confidence_accuracy_gap").alias("confidence_accuracy_gap"), "n_probed")
-
-
-def candidate_pairs_all(spark, root):
-    """The pairs at the engine's similarity; so are the three queries below."""
-    p = health.close_pairs(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _now())
-    return p.select("agent_id", "seq_a", "seq_b", _r("similarity").alias("similarity"))
-
-
-def contradiction_score_all(spark, root):
-    m = _held(spark, root, "status", "expires_at", "embedding", "first_seq")
-    c = health.contradictions(m, _now(), hold(health.close_pairs(m, _now()), "pairs"))
-    return c.select("agent_id", "n_valid", "n_involved", "n_pairs", _r("contradiction_score").alias("contradiction_score"), _r("embedding_coverage").alias("embedding_coverage"))
-
-
-def health_scores_all(spark, root):
-    m = _held(spark, root, "status", "expires_at", "embedding", "first_seq", "updated_at", "importance", "has_provenance")
-    h = health.health(m, _conf(spark, root), _now(), health.HealthConfig(probes=None))
-    return h.select("agent_id", "total_memories", "stale_count", "conflict_count", *[_r(c).alias(c) for c in ("freshness_score", "contradiction_score", "confidence_accuracy_gap", "score")], "risk_level")
-
-
-def new_conflicts_all(spark, root):
-    s = detect.scan(_held(spark, root, "status", "expires_at", "embedding", "first_seq"), _conf(spark, root), _now())
+    s = detect.on_store(m, m, similarity=SIMILAR)
     return s.select("agent_id", "memory_a_id", "memory_b_id", "conflict_type", _r("confidence").alias("confidence"))
 
 
@@ -276,8 +242,9 @@ def document_view(spark, root):
 
 
 def contains_snippet(spark, root):
-    m = _mem(spark, root, "text", "first_seq").filter(scalars.contains(F.col("text"), F.lit("Phone Line")))
-    return m.groupBy("agent_id").agg(F.min("first_seq").alias("first_hit"), F.count("*").alias("n"))
+    """The best hit of each search whose text holds a snippet."""
+    m = _held(spark, root, "embedding", "first_seq", "text")
+    return search.first_with(search.search_many(m, _probes(m), 10), m, "Phone Line").select("agent_id", "probe", "memory_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 def pair_records(spark, root):
@@ -345,7 +312,7 @@ def importance_rank(spark, root):
 
 
 _NAMES = """upsert_latest list_page status_counts usable_counts metadata_filter conflict_listing deleted_counts knn_topk knn_threshold distances search_topk search_enriched
-freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts store_conflicts_all confidence_gap_all candidate_pairs_all contradiction_score_all health_scores_all new_conflicts_all components plan_actions plan_preflight execute_effects
+freshness stale_ids candidate_pairs contradiction_score confidence_gap health_scores new_conflicts store_conflicts  components plan_actions plan_preflight execute_effects
 execute_resolutions skipped_conflicts action_counts plan_views orphan_sources lineage_chains manifest provenance_json document_view contains_snippet pair_records
 invalid_memories invalid_conflicts invalid_actions category_scores overall_score failed_cases repeated_cases invalid_cases naive_view access_stats chat_history importance_rank""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -375,7 +342,7 @@ _CONTRA = f"""sizes AS (SELECT agent_id, count(*) AS n_usable, count(*) FILTER (
 inv AS (SELECT agent_id, count(DISTINCT s) AS n_involved FROM (SELECT agent_id, seq_a AS s FROM pairs UNION ALL SELECT agent_id, seq_b FROM pairs) GROUP BY agent_id),
 np AS (SELECT agent_id, count(*) AS n_pairs FROM pairs GROUP BY agent_id),
 contra AS (SELECT agent_id, n_valid, coalesce(n_involved, 0) AS n_involved, coalesce(n_pairs, 0) AS n_pairs, CASE WHEN n_valid < 2 THEN 0.0 ELSE coalesce(n_involved, 0) / n_valid::DOUBLE END AS contradiction_score, CASE WHEN n_valid < 2 THEN n_vectors ELSE n_valid END / n_usable::DOUBLE AS embedding_coverage FROM sizes LEFT JOIN inv USING (agent_id) LEFT JOIN np USING (agent_id))"""
-_GAP = f"""probes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY md5(memory_id), memory_id) AS n, count(*) OVER (PARTITION BY agent_id) AS n_all FROM valid) WHERE n <= 50 AND n_all >= 2),
+_GAP = f"""probes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY md5(memory_id), memory_id) AS n, count(*) OVER (PARTITION BY agent_id) AS n_all FROM valid) WHERE n_all >= 2),
 near AS (SELECT * FROM (SELECT p.agent_id, p.first_seq AS probe, m.first_seq AS seq, {_COS('p.embedding', 'm.embedding')} AS score, (m.status = 'active' AND NOT coalesce({_T} > m.expires_at, false))::INT::DOUBLE AS ok,
   row_number() OVER (PARTITION BY p.agent_id, p.first_seq ORDER BY {_COS('p.embedding', 'm.embedding')} DESC, m.first_seq) AS rank FROM probes p JOIN (SELECT * FROM mem WHERE {_OK}) m ON m.agent_id = p.agent_id) WHERE rank <= 6),
 five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, probe ORDER BY rank) AS r FROM near WHERE seq <> probe) WHERE r <= 5),
@@ -449,7 +416,7 @@ s AS (SELECT *, 0.25 * f + 0.25 * p + 0.25 * (1 - c) + 0.25 * (1 - g) AS score F
 SELECT agent_id, total_memories, stale_count, conflict_count, round(f, 8) AS freshness_score, round(c, 8) AS contradiction_score, round(g, 8) AS confidence_accuracy_gap, round(score, 8) AS score, CASE WHEN score >= 0.8 THEN 'low' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.4 THEN 'high' ELSE 'critical' END AS risk_level FROM s""",
     "new_conflicts": f"WITH {_MEM}, {_CONF}, {_USABLE}, {_VALID} SELECT agent_id, memory_a_id, memory_b_id, {_VERDICT} AS conflict_type, round({_SURE}, 8) AS confidence FROM pairs WHERE {_VERDICT} <> 'unrelated' AND {_SURE} >= 0.8 AND NOT EXISTS (SELECT 1 FROM pend x WHERE x.agent_id = pairs.agent_id AND x.lo = least(pairs.memory_a_id, pairs.memory_b_id) AND x.hi = greatest(pairs.memory_a_id, pairs.memory_b_id))",
     "store_conflicts": f"""WITH {_MEM}, v AS (SELECT * FROM mem WHERE {_OK}),
-n AS (SELECT * FROM (SELECT p.agent_id, p.first_seq AS seq_a, m.first_seq AS seq_b, p.memory_id AS memory_a_id, m.memory_id AS memory_b_id, {_COS('p.embedding', 'm.embedding')} AS score, row_number() OVER (PARTITION BY p.agent_id, p.first_seq ORDER BY {_COS('p.embedding', 'm.embedding')} DESC, m.first_seq) AS rank FROM v p JOIN v m ON m.agent_id = p.agent_id WHERE (p.first_seq // 100) % 20 = 0) WHERE rank <= 21 AND score >= {SIMILAR} AND seq_b < seq_a)
+n AS (SELECT * FROM (SELECT p.agent_id, p.first_seq AS seq_a, m.first_seq AS seq_b, p.memory_id AS memory_a_id, m.memory_id AS memory_b_id, {_COS('p.embedding', 'm.embedding')} AS score, row_number() OVER (PARTITION BY p.agent_id, p.first_seq ORDER BY {_COS('p.embedding', 'm.embedding')} DESC, m.first_seq) AS rank FROM v p JOIN v m ON m.agent_id = p.agent_id AND m.first_seq <= p.first_seq) WHERE rank <= 21 AND score >= {SIMILAR} AND seq_b < seq_a)
 SELECT agent_id, memory_a_id, memory_b_id, {_VERDICT} AS conflict_type, round({_SURE}, 8) AS confidence FROM n WHERE {_VERDICT} <> 'unrelated' AND {_SURE} >= 0.8""",
     "components": f"WITH RECURSIVE {_PLAN} SELECT agent_id, memory_id, component, size FROM comp",
     "plan_actions": f"WITH RECURSIVE {_PLAN} SELECT agent_id, action_seq, action_type, tier, round(confidence, 8) AS confidence, array_to_string(src, ',') AS sources, reasoning FROM plan",
@@ -477,7 +444,7 @@ SELECT agent_id, start AS memory_id, array_to_string(chain, '>') AS chain FROM c
     "manifest": f"WITH {_MEM} SELECT agent_id, memory_id, provenance.record_id AS record_id, provenance.source_type AS source_type, provenance.source_id AS source_id, provenance.ingested_by AS ingested_by, provenance.chunk_index::BIGINT AS chunk_index, epoch_us(provenance.ingested_at) AS ingested_us FROM mem WHERE provenance IS NOT NULL",
     "provenance_json": f"WITH {_MEM} SELECT agent_id, memory_id, provenance.record_id AS record_id, provenance.source_type AS source_type, provenance.source_id AS source_id, provenance.raw_content AS raw_content, text, status, provenance.chunk_index::BIGINT AS chunk_index, round(importance, 8) AS importance FROM mem WHERE provenance IS NOT NULL",
     "document_view": f"WITH {_MEM} SELECT text AS page_content, metadata, memory_id AS _memory_id, agent_id FROM mem",
-    "contains_snippet": f"WITH {_MEM} SELECT agent_id, min(first_seq) AS first_hit, count(*) AS n FROM mem WHERE contains(lower(text), 'phone line') GROUP BY ALL",
+    "contains_snippet": f"WITH {_MEM}, {_HITS} SELECT agent_id, probe, arg_min(memory_id, rank) AS memory_id, min(rank) AS rank FROM hits JOIN mem USING (agent_id, memory_id) WHERE contains(lower(text), 'phone line') GROUP BY agent_id, probe",
     "pair_records": f"WITH {_CONF} SELECT agent_id, lo, hi, arg_min(conflict_id, struct_pack(t := detected_at, s := first_seq)) AS first_record, arg_max(conflict_id, struct_pack(t := detected_at, s := first_seq)) AS last_record, arg_min(conflict_id, struct_pack(c := -coalesce(confidence, -1.0), t := detected_at, s := first_seq)) AS best_record, count(*) AS n FROM pend GROUP BY ALL",
     "invalid_memories": _rules("memories", {"agent_not_blank": "trim(agent_id) <> ''", "text_not_blank": "trim(text) <> ''", "embedding_not_empty": "embedding IS NULL OR len(embedding) > 0", "metadata_is_json": "metadata IS NULL OR json_valid(metadata)", "known_type": "memory_type IN ('conversation', 'skill', 'custom')", "known_status": "status IN ('active', 'superseded', 'flagged', 'archived', 'pending_review')", "importance_in_range": "importance >= 0 AND importance <= 1", "access_count_not_negative": "access_count >= 0", "no_self_link": "superseded_by IS DISTINCT FROM memory_id AND NOT coalesce(list_contains(supersedes, memory_id), false)", "provenance_matches": "provenance IS NULL OR provenance.memory_id IS NOT DISTINCT FROM memory_id", "chunk_not_negative": "coalesce(provenance.chunk_index >= 0, true)"}),
     "invalid_conflicts": _rules("conflicts", {"ids_not_blank": "trim(memory_a_id) <> '' AND trim(memory_b_id) <> ''", "ids_differ": "nullif(lower(trim(memory_a_id)), '') IS DISTINCT FROM nullif(lower(trim(memory_b_id)), '')", "known_type": "conflict_type IN ('direct_contradiction', 'temporal_supersession', 'partial_conflict')", "confidence_in_range": "confidence >= 0 AND confidence <= 1", "description_not_blank": "regexp_matches(description, '\\S')", "resolved_after_detected": "coalesce(resolved_at >= detected_at, true)", "resolved_has_time": "resolution_status IS NOT DISTINCT FROM 'pending' OR resolved_at IS NOT NULL"}),
@@ -494,21 +461,3 @@ SELECT agent_id, probe, memory_id, round(merit, 8) AS merit, row_number() OVER (
     "chat_history": f"WITH {_MEM} SELECT agent_id, memory_id, row_number() OVER (PARTITION BY agent_id ORDER BY created_at NULLS FIRST, first_seq) AS turn FROM mem WHERE memory_type = 'conversation'",
 }
 
-
-def _without(name: str, **cuts: str) -> str:
-    """The SQL of a query with some of its conditions replaced, for the query over the whole tables."""
-    sql = ORACLE[name]
-    for old, new in cuts.values():
-        if old not in sql:
-            raise ValueError(f"{name}: {old}")
-        sql = sql.replace(old, new)
-    return sql
-
-
-ORACLE["store_conflicts_all"] = _without(
-    "store_conflicts", new=(" WHERE (p.first_seq // 100) % 20 = 0", ""), earlier=("m.agent_id = p.agent_id", "m.agent_id = p.agent_id AND m.first_seq <= p.first_seq"), similar=(f"score >= {SIMILAR}", f"score >= {schema.CLUSTER_SIMILARITY}")
-)
-_ENGINE = (f"list_cosine_similarity(a.embedding, b.embedding) > {SIMILAR}", f"list_cosine_similarity(a.embedding, b.embedding) > {schema.CLUSTER_SIMILARITY}")
-ORACLE |= {f"{n}_all": _without(n, similar=_ENGINE) for n in ("candidate_pairs", "contradiction_score", "new_conflicts")}
-_PROBES = ("n <= 50 AND n_all >= 2", "n_all >= 2")
-ORACLE |= {"confidence_gap_all": _without("confidence_gap", probes=_PROBES), "health_scores_all": _without("health_scores", similar=_ENGINE, probes=_PROBES)}

@@ -45,18 +45,13 @@ def test_later_memories_take_no_places_of_earlier_ones(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want)
 
 
-def test_every_memory_is_a_new_one(spark, data):
+def test_registered_queries_do_the_whole_job(spark, data):
     m = reference._mem(spark, data, "embedding", "first_seq")
     want = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in detect.on_store(m, m, similarity=0.82).collect()}
-    got = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in reference.QUERIES["store_conflicts_all"](spark, data).collect()}
-    some = {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in reference.store_conflicts(spark, data).collect()}
-    assert got == want and some < got
-
-
-def test_pairs_at_the_similarity_of_the_engine(spark, data):
-    rows = lambda q: {(r["agent_id"], r["seq_a"], r["seq_b"]): r["similarity"] for r in reference.QUERIES[q](spark, data).collect()}
-    all_, some = rows("candidate_pairs_all"), rows("candidate_pairs")
-    assert some.keys() < all_.keys() and 0.82 < min(all_.values()) < 0.95
+    assert {(r["agent_id"], r["memory_a_id"], r["memory_b_id"]) for r in reference.store_conflicts(spark, data).collect()} == want
+    assert min(r["similarity"] for r in reference.candidate_pairs(spark, data).collect()) < 0.95
+    n = reference._mem(spark, data, "embedding", "status", "expires_at").filter("status = 'active'").count()
+    assert 0 < sum(r["n_probed"] for r in reference.confidence_gap(spark, data).collect()) <= n
 
 
 def test_gap_of_all_probes(spark):
