@@ -21,7 +21,8 @@ def test_extra_columns(spark):
     con = clash(frame(spark, CON, [("a", "c1", "m1", "other", T, 2, 2, "insert")]))
     assert {(r["field"], r["reason"]) for r in orphans.orphans(mem, con).collect()} == {("superseded_by", "missing"), ("memory_b_id", "missing")}
     e = graph.undirected(clash(frame(spark, "agent_id string, a string, b string", [("a", "x", "y")])))
-    assert graph.minimum_labels(s := Scratch(spark, "t"), s.save(e, "e")).count() == 2
+    scratch = Scratch(spark, "t")
+    assert graph.minimum_labels(scratch, scratch.save(e, "e")).count() == 2
     assert [r["n"] for r in sequence.numbered(clash(frame(spark, "g string, o int", [("a", 2), ("a", 1)])).drop("_range", "_row", "_n"), ["g"], ["o"], "n").orderBy("o").collect()] == [1, 2]
 
 
