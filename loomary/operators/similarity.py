@@ -1,8 +1,9 @@
 """Exact vector joins within scopes, by blocks.
 
-Each side of a scope is cut into blocks by hash, so many rows as a matrix product takes; every pair
-of blocks is one group of bounded size, whatever share of the rows the scope holds.  Scopes that fit
-one block are one group.  The product runs in Arrow batches over whole blocks.
+Each side of a scope is cut into blocks by hash; every pair of blocks is one group of bounded size,
+whatever share of the rows the scope holds.  Scopes that fit one block are one group.  The larger the
+blocks, the fewer copies of a row are sent (one per block of the other side); their product is made
+in slices, so that memory stays small.  Rows come and go as Arrow buffers.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of one block of a scope, on average.
-BLOCK = 2000
+#: Rows of one block of a scope, on average, and rows of it whose scores are held at once.
+BLOCK, SLICE = 8000, 1000
 #: Rows of one Arrow batch of results, at most.
 OUT = 100_000
 
@@ -45,22 +46,42 @@ def blocks(left: DataFrame, right: DataFrame, half: bool = False) -> DataFrame:
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """((scope, i, j), left ids, left matrix, right ids, right matrix) of each block pair of a sorted stream."""
     now, ids, vecs = None, ([], []), ([], [])
+
+    def whole() -> tuple:
+        sides = [(np.concatenate(ids[k]), _matrix(now[0], vecs[k])) for k in (0, 1)]
+        return now, *sides[0], *sides[1]
+
     for b in batches:
-        for s, i, j, side, rid, v in zip(*[b.column(c).to_pylist() for c in ("scope", "i", "j", "side", "id", "vec")], strict=True):
-            if (s, i, j) != now:
+        if not b.num_rows:
+            continue
+        scope = np.asarray(b.column("scope").to_pylist(), object)
+        i, j, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "side"))
+        rid, lists = b.column("id").to_numpy(zero_copy_only=False), b.column("vec")
+        values, at = lists.values.to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+        cuts = np.flatnonzero((scope[1:] != scope[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            key = (scope[lo], int(i[lo]), int(j[lo]))
+            if key != now:
                 if now and ids[0] and ids[1]:
-                    yield now, ids[0], _matrix(now[0], vecs[0]), ids[1], _matrix(now[0], vecs[1])
-                now, ids, vecs = (s, i, j), ([], []), ([], [])
-            ids[side].append(rid)
-            vecs[side].append(v)
+                    yield whole()
+                now, ids, vecs = key, ([], []), ([], [])
+            n = np.diff(at[lo : hi + 1])
+            if (n != n[0]).any():
+                raise ValueError(f"vectors of different lengths in scope {key[0]}")
+            ids[side[lo]].append(rid[lo:hi])
+            vecs[side[lo]].append(values[at[lo] : at[hi]].reshape(hi - lo, n[0]))
     if now and ids[0] and ids[1]:
-        yield now, ids[0], _matrix(now[0], vecs[0]), ids[1], _matrix(now[0], vecs[1])
+        yield whole()
 
 
-def _matrix(scope: str, vecs: list) -> np.ndarray:
-    if len({len(v) for v in vecs}) > 1:
+def _matrix(scope: str, parts: list[np.ndarray]) -> np.ndarray:
+    if len({p.shape[1] for p in parts}) > 1:
         raise ValueError(f"vectors of different lengths in scope {scope}")
-    return np.asarray(vecs)
+    return np.concatenate(parts)
+
+
+def _slices(n: int) -> Iterator[slice]:
+    return (slice(lo, lo + SLICE) for lo in range(0, n, SLICE))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -75,17 +96,19 @@ def pairs_above(rows: DataFrame, threshold: float, id_type: str = "bigint") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (scope, one, two), a, x, b, y in _groups(batches):
-            a, b = np.asarray(a, object), np.asarray(b, object)
-            s = _unit(x) @ _unit(y).T
-            i, j = np.nonzero(s > threshold)
-            p, q, v = a[i], b[j], s[i, j]
-            if one == two:  # within a block each pair is met in both directions
-                keep = p < q
-                p, q, v = p[keep], q[keep], v[keep]
-            swap = p > q
-            p[swap], q[swap] = q[swap], p[swap]
-            if len(p):
-                yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(p.tolist()), pa.array(q.tolist()), pa.array(v)], names=["scope", "id_a", "id_b", "score"])
+            x, y = _unit(x), _unit(y).T
+            for part in _slices(len(a)):
+                s = x[part] @ y
+                i, j = np.nonzero(s > threshold)
+                p, q, v = a[part][i], b[j], s[i, j]
+                if one == two:  # within a block each pair is met in both directions
+                    keep = p < q
+                    p, q, v = p[keep], q[keep], v[keep]
+                swap = p > q
+                p[swap], q[swap] = q[swap], p[swap]
+                for lo in range(0, len(p), OUT):
+                    r = slice(lo, lo + OUT)
+                    yield pa.record_batch([pa.array([scope] * len(p[r]), pa.string()), pa.array(p[r]), pa.array(q[r]), pa.array(v[r])], names=["scope", "id_a", "id_b", "score"])
 
     return blocks(rows, rows, half=True).mapInArrow(run, f"scope string, id_a {id_type}, id_b {id_type}, score double")
 
@@ -146,16 +169,18 @@ def nearest(probes: DataFrame, rows: DataFrame, k: int | None, threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (scope, _, _), a, x, b, y in _groups(batches):
-            order = np.argsort(np.asarray(b, object), kind="stable")
-            a, ids = np.asarray(a, object), np.asarray(b, object)[order]
-            s = sign * scores(x, y[order])
-            ok = s >= sign * threshold if threshold is not None else np.ones(s.shape, bool)
-            if earlier:
-                ok &= np.asarray(ids.tolist()) <= np.asarray(a.tolist())[:, None]
-            i, j = _hits(s, ok, k)
-            for lo in range(0, len(i), OUT):
-                p, q = i[lo : lo + OUT], j[lo : lo + OUT]
-                yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(a[p].tolist()), pa.array(ids[q].tolist()), pa.array(sign * s[p, q])], names=["scope", "probe", "id", "score"])
+            order = np.argsort(b, kind="stable")
+            ids, y = b[order], y[order]
+            for part in _slices(len(a)):
+                own = a[part]
+                s = sign * scores(x[part], y)
+                ok = s >= sign * threshold if threshold is not None else np.ones(s.shape, bool)
+                if earlier:
+                    ok &= ids <= own[:, None]
+                i, j = _hits(s, ok, k)
+                for lo in range(0, len(i), OUT):
+                    p, q = i[lo : lo + OUT], j[lo : lo + OUT]
+                    yield pa.record_batch([pa.array([scope] * len(p), pa.string()), pa.array(own[p]), pa.array(ids[q]), pa.array(sign * s[p, q])], names=["scope", "probe", "id", "score"])
 
     found = blocks(probes, rows).mapInArrow(run, f"scope string, probe {id_type}, id {id_type}, score double")
     if k is None:
