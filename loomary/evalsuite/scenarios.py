@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars
 from ..operators import consolidate, detect, records, search
 from ..schema import CONFLICTS
 from . import cases
@@ -71,14 +72,13 @@ def run(spark: SparkSession, mode: str = "detect") -> DataFrame:
     for c, s in zip(chosen, ALL, strict=True):
         mine = {r["memory_id"]: r for r in rows if r["agent_id"] == c.agent_id}
         right = 1.0 if s.current in mine and mine[s.current]["recommended"] else 0.0
-        if s.stale is None:
-            signal = 0.0 if any(r["conflict_flag"] for r in mine.values()) else 1.0
-        else:
-            r = mine.get(s.stale)
-            signal = 1.0 if r is None or r["conflict_flag"] else 0.0 if r["recommended"] else 0.5
-        kept_share = min(1.0, kept.get(c.agent_id, 0) / s.keep)
-        out.append((s.name, mode, right, signal, kept_share, 0.4 * right + 0.4 * signal + 0.2 * kept_share))
-    return spark.createDataFrame(out, "scenario string, system string, correct double, signal double, preserved double, score double")
+        # where nothing may be signalled, a flag anywhere counts as a stale fact that was let through
+        old = mine.get(s.stale) if s.stale else None
+        found, flagged, told = (any(r["conflict_flag"] for r in mine.values()), False, True) if s.stale is None else (old is not None, bool(old and old["conflict_flag"]), bool(old and old["recommended"]))
+        out.append((s.name, mode, right, found, flagged, told, min(1.0, kept.get(c.agent_id, 0) / s.keep)))
+    judged = spark.createDataFrame(out, "scenario string, system string, correct double, found boolean, flagged boolean, told boolean, preserved double")
+    judged = judged.withColumn("signal", scalars.stale_signal(F.col("found"), F.col("flagged"), F.col("told")).cast("double"))
+    return judged.select("scenario", "system", "correct", "signal", "preserved", scalars.scenario_score(F.col("correct"), F.col("signal"), F.col("preserved")).alias("score"))
 
 
 def _window():

@@ -10,7 +10,7 @@ from .. import schema
 from ..functions import vector
 from ..functions.scalars import contains, matches
 from .records import embedded, pending
-from .similarity import nearest
+from .similarity import METRICS, nearest
 
 
 def search_one(mem: DataFrame, agent_id: str, query: list[float], top_k: int = 10, score_threshold: float | None = None, filters: dict | None = None, metric: str = "cosine") -> DataFrame:
@@ -25,6 +25,8 @@ def search_one(mem: DataFrame, agent_id: str, query: list[float], top_k: int = 1
     rows = mem.filter((F.col("agent_id") == agent_id) & F.col("embedding").isNotNull())
     if filters:
         rows = rows.filter(matches(F.col("metadata"), filters))
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     score, far = {"cosine": (vector.cosine, False), "dot": (vector.dot, False), "euclid": (vector.euclidean, True), "manhattan": (vector.manhattan, True)}[metric]
     scored = rows.withColumn("score", score(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
     if score_threshold is not None:

@@ -17,6 +17,7 @@ from ..operators import consolidate, detect, evaluate, health, prompts, provenan
 from ..session import Scratch, hold
 from ..sources.store import MemoryStore
 from ..sources.tables import table
+from ..streaming import ingest
 from . import reference as r
 from .reference import _actions, _cases, _conf, _held, _mem, _now, _probes, _r
 
@@ -250,9 +251,62 @@ def store_state(spark, root):
     return store.mem().select("agent_id", "memory_id", "status", _r("importance").alias("importance"))
 
 
+def store_reads(spark, root):
+    """What the store's reading methods give for one tenant, as counts."""
+    store = MemoryStore(spark, Scratch(spark, "store").root)
+    ok = hold(schema.quarantine(_mem(spark, root).filter("agent_id = 'agent-0001'").withColumn("op", F.lit("insert")), schema.memory_rules() | {f"provenance_{k}": v for k, v in schema.provenance_rules().items()})[0].drop("first_seq", "version_seq", "op"), "valid")
+    store.store_batch(ok)
+    a = "agent-0001"
+    ids = [r_["memory_id"] for r_ in store.list_all(a).select("memory_id").collect()]  # one tenant's ids, as a caller would hold them
+    rows = [
+        ("all", store.count(a)), ("active", store.count(a, "active")), ("fetched", store.fetch_batch(a, [f" {i.upper()} " for i in ids]).count()), ("page", store.list_all(a, limit=7, offset=3).count()),
+        ("there", sum(store.exists(a, i) for i in ids[:2])), ("elsewhere", store.fetch_batch("agent-0002", ids).count()), ("topic", store.where(a, {"topic": "budget"}).count()),
+        ("provenance", sum(store.provenance_for(a, i).count() for i in sorted(ids)[:3])), ("deleted", store.delete_batch(a, ids[:4] + ["nobody"])), ("left", store.count(a)),
+    ]
+    return spark.createDataFrame(rows, "what string, n bigint")
+
+
+def store_conflict_log(spark, root):
+    """Valid conflicts through a store: kept, some resolved, some deleted, and listed."""
+    store = MemoryStore(spark, Scratch(spark, "store").root)
+    c = _conf(spark, root).drop("lo", "hi", "first_seq", "version_seq").withColumns({"resolved_at": F.when(F.col("resolution_status") != "pending", F.col("detected_at")), "resolution_notes": F.lit(None).cast("string")})
+    store.conflicts.append(hold(schema.quarantine(c, schema.conflict_rules())[0], "valid"), "insert")
+    sure = store.conflicts.state().filter("resolution_status = 'pending' and confidence >= 0.9")
+    store.update_conflict(sure.withColumns({"resolution_status": F.lit("human_reviewed"), "resolved_at": F.col("detected_at"), "resolution_notes": F.lit("sure")}))
+    store.conflicts.append(store.conflicts.state().filter("conflict_type = 'partial_conflict'"), "delete")
+    return store.conflicts.state().select("agent_id", "conflict_id", "resolution_status", "resolution_notes")
+
+
+# -- streams, run to the end of what there is
+
+
+def _streamed(spark, root, name: str, make, mode: str) -> DataFrame:
+    at = Scratch(spark, "stream").root
+    source = spark.readStream.schema(table(spark, root, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    rows = make(source)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+
+    spark.createDataFrame([], rows.schema).write.parquet(f"{at}/out")
+    rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
+def stream_access(spark, root):
+    out = _streamed(spark, root, "events", ingest.access_counts, "complete")
+    return out.select("user_id", "n", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
+
+
+def stream_activity(spark, root):
+    """Hourly activity of the windows that the watermark has closed."""
+    out = _streamed(spark, root, "events", ingest.activity, "append")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
 _NAMES = """merged_memories resolution_notes archive_effects tiered_effects planted_preflight executed_actions hit_signals invalid_hits retrieval_overlap two_hops search_metrics
 mixed_dimensions invalid_provenance invalid_plans invalid_health quarantined payloads row_ids prompts_asked replies_read asked_conflicts keyword_vectors system_dimensions
-scenario_pivot system_headline weighted_score judged_cases suite_cases store_state""".split()
+scenario_pivot system_headline weighted_score judged_cases suite_cases store_state store_reads store_conflict_log stream_access stream_activity""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _M, _C = r._MEM, r._CONF
@@ -332,4 +386,11 @@ SELECT agent_id, probe, memory_id FROM one UNION SELECT b.agent_id, b.probe, h.m
     "weighted_score": f"WITH {r._CASES}, k AS (SELECT CASE category WHEN 'temporal' THEN 3.0 WHEN 'importance' THEN 0.0 ELSE 1.0 END::DOUBLE AS w, avg(score) AS s FROM c GROUP BY category), o AS (SELECT sum(w * s) / sum(w) AS s FROM k) SELECT round_even(s, 4) AS overall, CASE WHEN s >= 0.85 THEN 'low' WHEN s >= 0.7 THEN 'medium' WHEN s >= 0.5 THEN 'high' ELSE 'critical' END AS risk, (SELECT count(*) FILTER (passed) FROM c) AS n_passed, (SELECT count(*) FROM c) AS n_cases FROM o",
     "judged_cases": f"WITH {r._CASES} SELECT DISTINCT case_name, round(CASE WHEN error IS NOT NULL THEN 0.0 ELSE score END, 8) AS score, CASE WHEN error IS NOT NULL THEN false ELSE score >= pass_threshold END AS passed, error FROM c",
     "store_state": f"WITH {_M}, ok AS (SELECT * FROM mem WHERE {_HOLDS(_RULES)} AND {_HOLDS(_PROV)}) SELECT agent_id, memory_id, status, CASE WHEN status = 'flagged' THEN 0.25 ELSE round(importance, 8) END AS importance FROM ok WHERE status <> 'archived'",
+    "store_reads": f"""WITH {_M}, ok AS (SELECT * FROM mem WHERE agent_id = 'agent-0001' AND {_HOLDS(_RULES)} AND {_HOLDS(_PROV)}), n AS (SELECT count(*) AS n FROM ok)
+SELECT 'all' AS what, n FROM n UNION ALL SELECT 'active', count(*) FILTER (status = 'active') FROM ok UNION ALL SELECT 'fetched', n FROM n UNION ALL SELECT 'page', greatest(0, least(7, n - 3)) FROM n UNION ALL SELECT 'there', least(2, n) FROM n UNION ALL SELECT 'elsewhere', 0
+UNION ALL SELECT 'topic', count(*) FROM ok WHERE CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.topic') END = 'budget' UNION ALL SELECT 'provenance', count(provenance) FROM (SELECT provenance FROM ok ORDER BY memory_id LIMIT 3) UNION ALL SELECT 'deleted', least(4, n) FROM n UNION ALL SELECT 'left', n - least(4, n) FROM n""",
+    "store_conflict_log": f"""WITH {_C}, ok AS (SELECT * FROM conf WHERE memory_a_id IS NOT NULL AND memory_b_id IS NOT NULL AND memory_a_id <> memory_b_id AND conflict_type <> 'unknown' AND confidence IS NOT NULL AND regexp_matches(description, '\\S') AND (resolution_status = 'pending' OR detected_at IS NOT NULL))
+SELECT agent_id, conflict_id, CASE WHEN resolution_status = 'pending' AND confidence >= 0.9 THEN 'human_reviewed' ELSE resolution_status END AS resolution_status, CASE WHEN resolution_status = 'pending' AND confidence >= 0.9 THEN 'sure' END AS resolution_notes FROM ok WHERE conflict_type <> 'partial_conflict'""",
+    "stream_access": r.ORACLE["access_stats"],
+    "stream_activity": "WITH e AS (SELECT date_trunc('hour', ts) AS h, event_type, value FROM events WHERE ts IS NOT NULL), w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events) SELECT strftime(h, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM e, w WHERE h + INTERVAL 1 HOUR <= mark GROUP BY h, event_type",
 }

@@ -33,11 +33,15 @@ NUMBERS = 1 << 20
 _claims = threading.Lock()
 
 
-class NotFound(KeyError):
+class StoreError(Exception):
+    """Any error of the store."""
+
+
+class NotFound(StoreError, KeyError):
     """The record to change isn't there (or belongs to another tenant)."""
 
 
-class InvalidRecords(ValueError):
+class InvalidRecords(StoreError, ValueError):
     """A batch breaks validity rules; it isn't written."""
 
 
