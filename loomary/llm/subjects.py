@@ -58,15 +58,26 @@ _ENDS = frozenset(".!?…\n")
 UNKNOWN, END = -1, -2
 
 
+def new_vocabulary() -> dict[str, int]:
+    """Word ids; the marks that end a sentence are among them, and no words."""
+    return dict.fromkeys(_ENDS, END)
+
+
+def n_words(vocabulary: dict[str, int]) -> int:
+    """Ids in use, with one for unknown words."""
+    return len(vocabulary) - len(_ENDS) + 1
+
+
 def encode(text: str, vocabulary: dict[str, int], grow: bool = False) -> np.ndarray:
     """Word ids with END after each sentence; a line end ends a sentence too."""
     toks = _TOKEN.findall(text.lower())
     if grow:
-        out = [END if t in _ENDS else vocabulary.setdefault(t, len(vocabulary)) for t in toks]
+        out = [vocabulary.setdefault(t, len(vocabulary) - len(_ENDS)) for t in toks]
     else:
         get = vocabulary.get
-        out = [END if t in _ENDS else get(t, UNKNOWN) for t in toks]
-    return np.array([*out, END], np.int32)
+        out = [get(t, UNKNOWN) for t in toks]
+    out.append(END)
+    return np.array(out, np.int32)
 
 
 def _flat(batch: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,13 +149,16 @@ class Model:
     bound: float = 0.0
 
     def sentences(self, batch: list[np.ndarray], lang: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all sentences with a word: document, best subject, and its gain per token."""
+        """Of all sentences with a word: document, best subject, and its gain per token.
+
+        ``lang`` gives the documents' languages; where it is negative or None, their words tell it.
+        """
         words = self.tongue.shape[1]
         ids, doc, sent = _flat(batch, words)
         if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if lang is None:
-            lang = _language_of(self.tongue, ids, doc, len(batch))
+        own = _language_of(self.tongue, ids, doc, len(batch))
+        lang = own if lang is None else np.where(lang < 0, own, lang)
         at = lang[doc] * words + ids
         inside = np.flatnonzero(sent[1:] == sent[:-1])
         where = k = np.zeros(0, np.int64)
@@ -167,18 +181,19 @@ class Model:
     def pieces(self, batch: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
         """(documents, their numbers in the batch, their languages) of about SLICE tokens each.
 
-        A longer document comes in pieces cut at sentence ends, all in the language of the whole.
+        A longer document comes in pieces cut at sentence ends, all in the language of the whole; that
+        of others is -1 (not told yet).
         """
         now, which, size = [], [], 0
         lone = lambda d: _language_of(self.tongue, *_flat([d], self.tongue.shape[1])[:2], 1)[0]
         langs: list[int] = []
         for i, d in enumerate(batch):
-            parts = [d]
+            parts, g = [d], -1
             if len(d) > SLICE:
+                g = lone(d)
                 ends = np.flatnonzero(d == END) + 1
                 cuts = np.unique(ends[np.minimum(np.searchsorted(ends, np.arange(SLICE, len(d), SLICE)), len(ends) - 1)])
                 parts = [p for p in np.split(d, cuts) if len(p)]
-            g = lone(d)
             for p in parts:
                 if now and size + len(p) > SLICE:
                     yield now, np.array(which), np.array(langs)
@@ -231,7 +246,7 @@ class Sample:
 
     @classmethod
     def of(cls, rows: list[tuple[str, str, list[str]]], subjects: list[str]) -> Sample:
-        vocabulary: dict[str, int] = {}
+        vocabulary = new_vocabulary()
         docs = [encode(t, vocabulary, True) for t, _, _ in rows]
         index = {x: i for i, x in enumerate(subjects)}
         labels = np.zeros((len(rows), len(subjects)), np.float32)
@@ -375,7 +390,7 @@ def calibrated(m: Model, held: Sample, scale: float) -> float:
 def train(rows: list[tuple[str, str, list[str]]], subjects: list[str], rounds: int = ROUNDS) -> Model:
     """Fit on (text, language tag, labels) with the labelled documents themselves as the corpus."""
     s = Sample.of(rows, subjects)
-    words = len(s.vocabulary) + 1
+    words = n_words(s.vocabulary)
     langs = frequent(dict(zip(*np.unique(s.tags, return_counts=True), strict=True)) if s.tags else {})
     total = np.zeros(len(langs) * words, np.int64)
     tongue_counts(s.docs, s.tags, langs, words, total)
@@ -465,7 +480,7 @@ def classify(rows: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
 def trained(scratch: Scratch, docs: DataFrame, sample: Sample, subjects: list[str]) -> tuple[Model, DataFrame]:
     """The model of a sample against all encoded documents, and the documents scored by it."""
     sc = docs.sparkSession.sparkContext
-    words = len(sample.vocabulary) + 1
+    words = n_words(sample.vocabulary)
     langs = frequent({r[0]: r[1] for r in docs.groupBy("tag").agg(F.count("*")).collect()})  # language tags have at most three letters
 
     def tell(b: pa.RecordBatch, total: np.ndarray) -> None:
