@@ -11,12 +11,22 @@ from pyspark.sql import DataFrame
 #: Numbers in one row of a partial sum.
 CHUNK = 1 << 14
 
-_SCHEMA = "part int, counts binary"
+_SCHEMA = "part int, width int, counts binary"
+
+
+def _packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Partial sums in the narrowest integers that hold them."""
+    kinds = [next(k for k in (np.uint8, np.int16, np.int32, np.int64) if a.min() >= np.iinfo(k).min and a.max() <= np.iinfo(k).max) for a in parts.values()]
+    data = [a.astype(k).tobytes() for a, k in zip(parts.values(), kinds, strict=True)]
+    return pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([np.dtype(k).itemsize for k in kinds], pa.int32()), pa.array(data, pa.binary())], names=["part", "width", "counts"])
+
+
+def _unpacked(width: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.int16, 4: np.int32, 8: np.int64}[width]).astype(np.int64)
 
 
 def _rows(total: np.ndarray) -> pa.RecordBatch:
-    starts = [i for i in range(0, len(total), CHUNK) if total[i : i + CHUNK].any()]
-    return pa.record_batch([pa.array([i // CHUNK for i in starts], pa.int32()), pa.array([total[i : i + CHUNK].tobytes() for i in starts], pa.binary())], names=["part", "counts"])
+    return _packed({i // CHUNK: total[i : i + CHUNK] for i in range(0, len(total), CHUNK) if total[i : i + CHUNK].any()})
 
 
 def summed(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], length: int) -> np.ndarray:
@@ -35,14 +45,14 @@ def summed(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], l
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, x in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                a = np.frombuffer(x, np.int64)
+            for i, w, x in zip(*[b.column(c).to_pylist() for c in ("part", "width", "counts")], strict=True):
+                a = _unpacked(w, x)
                 sums[i] = sums[i] + a if i in sums else a
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([a.tobytes() for a in sums.values()], pa.binary())], names=["part", "counts"])
+        yield _packed(sums)
 
     rows = df.mapInArrow(partial, _SCHEMA).repartition("part").mapInArrow(add, _SCHEMA).toArrow()
     out = np.zeros(length, np.int64)
-    for i, x in zip(rows["part"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-        a = np.frombuffer(x, np.int64)
+    for i, w, x in zip(*[rows[c].to_pylist() for c in ("part", "width", "counts")], strict=True):
+        a = _unpacked(w, x)
         out[i * CHUNK : i * CHUNK + len(a)] = a
     return out
