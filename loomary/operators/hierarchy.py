@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_id
-from ..session import Scratch, any_rows
+from ..session import Scratch, any_rows, hold
 from .versions import current_memories
 
 #: Most links that one disjoint-set forest holds in memory at once.
@@ -42,7 +42,8 @@ def memory_links(memories: DataFrame) -> DataFrame:
     among current memories whose ``supersedes`` lists the child.  Null and blank ids name nothing;
     a record naming itself is a circle of one.
     """
-    now = current_memories(memories, {"up": norm_id(F.col("superseded_by")), "downs": F.col("supersedes"), "at": F.col("first_seq")})
+    # written once: the joins' sides are then plain shuffles, and AQE's skew join splits a parent of very many
+    now = hold(current_memories(memories, {"up": norm_id(F.col("superseded_by")), "downs": F.col("supersedes"), "at": F.col("first_seq")}), "links")
     ids = now.select("agent_id", F.col("memory_id").alias("id"), "at")
     stated = now.filter("up is not null").select("agent_id", F.col("memory_id").alias("child"), F.col("up").alias("parent"), F.lit(0).alias("rank"), "at")
     stated = stated.join(ids.select("agent_id", F.col("id").alias("parent")), ["agent_id", "parent"], "left_semi").select("agent_id", "child", "parent", "rank", "at")
@@ -124,9 +125,10 @@ def _forests(limit: int, paths: bool):
     return run
 
 
-def _chunks(links: DataFrame, limit: int) -> DataFrame:
+def _chunks(scratch: Scratch, links: DataFrame, limit: int) -> DataFrame:
     """Links with their agent's number of links, grouped into chunks by locality (or hash) and sorted."""
     sizes = links.groupBy("agent_id").agg(F.count("*").alias("n_links"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    sizes = scratch.save(sizes, "sizes")  # a written side lets AQE split an agent that holds a large share
     parts = F.ceil(F.col("n_links") / limit)
     near = F.floor((F.col("at") - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1))
     salt = F.when(F.col("n_links") <= limit, F.lit(0).cast("bigint")).otherwise(F.coalesce(near, F.pmod(F.xxhash64("child"), parts)))
@@ -136,7 +138,7 @@ def _chunks(links: DataFrame, limit: int) -> DataFrame:
 
 def _level(scratch: Scratch, links: DataFrame, paths: bool, limit: int, seen: list[int] | None) -> DataFrame:
     """FOREST rows of all nodes with a link, at their final roots."""
-    forest = scratch.save(_chunks(links, limit).mapInPandas(_forests(limit, paths), FOREST), "forest")
+    forest = scratch.save(_chunks(scratch, links, limit).mapInPandas(_forests(limit, paths), FOREST), "forest")
     open_rows = forest.filter("not whole")
     if not any_rows(open_rows):
         return forest

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import hold
+
 #: Rows of one block of a scope, on average, and rows of it whose scores are held at once.
 BLOCK, SLICE = 8000, 1000
 #: Rows of one Arrow batch of results, at most.
@@ -36,7 +38,8 @@ def blocks(left: DataFrame, right: DataFrame, half: bool = False) -> DataFrame:
     ``half`` is for a join of rows with themselves: of block pairs only those with i <= j.
     """
     n = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).alias(name))
-    sizes = n(left, "nl").join(n(right, "nr"), "scope")
+    # written: of its real size, and a plain side of the joins, so that AQE can split a scope with a large share
+    sizes = hold(n(left, "nl").join(n(right, "nr"), "scope"), "sizes")
     both = _placed(left.join(sizes, "scope"), 0, F.col("scope"), "nl", "nr").unionByName(_placed(right.join(sizes, "scope"), 1, F.col("scope"), "nr", "nl"))
     if half:
         both = both.filter("i <= j")
