@@ -35,7 +35,7 @@ from .mixing import language
 from .sums import summed
 
 #: Labelled documents used for training, and characters of them (at least one document is).
-MAX_LABELLED, MAX_CHARS = 12_000, 100_000_000
+MAX_LABELLED, MAX_CHARS = 12_000, 40_000_000
 #: Least occurrences of a bigram in the training documents that is modelled by itself.
 LEAST_BIGRAM = 3
 #: Share of the documents that must carry a language's tag.

@@ -61,7 +61,9 @@ def survivors(spark: SparkSession, records: DataFrame, group: list[str], record_
     rows = records
     for c in [*group, record_id]:
         rows = rows.filter(F.col(c).isNotNull())
+    scratch = Scratch(spark, "survivors")
     sizes = rows.groupBy(*group).agg(F.min(record_id).alias("group_id"), F.max(record_id).alias("_top")).filter("group_id <> _top").drop("_top")
+    sizes = scratch.save(sizes, "sizes")  # a written side lets AQE's skew join split a group that holds a large share
     picks = F.array(*[F.struct(F.lit(r.name).alias("field"), F.lit(r.text).alias("text"), F.when(r.eligible, r.value.cast("string")).alias("value"), (-F.coalesce(r.trust.cast("double"), F.lit(float("-inf")))).alias("score")) for r in rules])
     long = rows.select(*group, F.col(record_id).alias("id"), F.explode(F.filter(picks, lambda p: p["value"].isNotNull())).alias("p")).select(*group, "id", "p.*")
     best = F.min(F.struct("score", "id"))
@@ -71,7 +73,6 @@ def survivors(spark: SparkSession, records: DataFrame, group: list[str], record_
     # from_id is always the most trusted holder of the value, whatever the votes
     votes = long.groupBy(*group, "field", "text", "value").agg(best.alias("vote"), F.min(F.struct("score", "id"))["id"].alias("from_id"))
     key = [*group, "group_id", "field"]
-    scratch = Scratch(spark, "survivors")
     voted = scratch.save(votes.join(sizes, group).select(*key, "text", "value", "vote.*", "from_id"), "votes")
     return _aligned(scratch, voted, key, mode)
 
