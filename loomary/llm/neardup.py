@@ -44,8 +44,6 @@ MEETINGS, SUBSET = 3, 2
 SUBSET_AT, SIDE = 0xFFFFFFFF, 30
 #: Cost of one enumerated subset (hashed, shuffled, sorted), in scanned list entries.
 SUBSET_COST = 3.0
-#: Classes on which the boundary's costs are estimated (drawn by hash).
-COST_SAMPLE = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -191,7 +189,7 @@ def boundary(sizes: list[tuple[int, int, float]], t: float) -> int:
 
 
 def _costs(c: Classes, freq, t: float) -> list[tuple[int, int, float]]:
-    """(size, sets, scanned entries) over a sample of classes: only the choice of the boundary rests on it."""
+    """(size, sets, scanned entries) over all classes; one that several partitions saw counts in each, as it is entered."""
     size = c.size
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +202,8 @@ def _costs(c: Classes, freq, t: float) -> list[tuple[int, int, float]]:
             scanned = np.bincount(o, weights=np.maximum(f - noise, 1), minlength=b.num_rows)
             yield pa.record_batch([pa.array(n, pa.int32()), pa.array(scanned)], names=["n", "scanned"])
 
-    # a power-of-two share of the hash range holds about COST_SAMPLE classes
-    share = max(1, 1 << max(0, (c.texts.count() // COST_SAMPLE).bit_length() - 1))
-    some = c.texts.filter(F.pmod("class", F.lit(share)) == 0).select("scope", "text")
-    return [tuple(r) for r in some.mapInArrow(cost, "n int, scanned double").groupBy("n").agg(F.count("*"), F.sum("scanned")).collect()]
+    costs = c.texts.select("scope", "text").mapInArrow(cost, "n int, scanned double")
+    return [tuple(r) for r in costs.groupBy("n").agg(F.count("*"), F.sum("scanned")).collect()]
 
 
 def _blocks(h: np.ndarray, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -89,6 +89,16 @@ def test_boundary_follows_cost():
     assert neardup.boundary([], 0.5) == 0
 
 
+def test_costs_are_summed_over_all_classes(spark):
+    long = "concat_ws(' ', " + ", ".join(f"concat('x{k}y', id)" for k in range(12)) + ")"
+    texts = spark.range(200_000).selectExpr("'p' AS scope", "cast(id AS string) AS id", f"if(id % 2000 = 0, {long}, concat('a', id, ' b c')) AS text")
+    c = neardup.Classes(spark, texts, 3)
+    freq = spark.sparkContext.broadcast(neardup._frequencies(c))
+    got = {n: (sets, scanned) for n, sets, scanned in neardup._costs(c, freq, 0.5)}
+    assert {n: sets for n, (sets, _) in got.items()} == {1: 199_900, 10: 100}
+    assert got[1][1] >= 199_900 and got[10][1] >= 800  # a scan reads an entry of each first shingle at least
+
+
 def test_mix_is_a_bijection_on_samples():
     x = np.arange(10_000, dtype=np.uint64)
     assert len(np.unique(neardup.mix(x))) == len(x)
